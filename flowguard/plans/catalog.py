@@ -1,6 +1,10 @@
 """Importing this module registers every named query."""
 
-from flowguard.plans import detection  # noqa: F401
+from flowguard.plans import (  # noqa: F401
+    cells,
+    detection,
+    training,
+)
 from flowguard.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -87,7 +87,7 @@ def rule_matches(spark, sf):
 
 
 @query("severity_by_source", views="flows", oracle=VERDICT_SQL + """
-SELECT severity, attack_type, COUNT(*) AS n_sources, SUM(row_count) AS n_rows
+SELECT severity, attack_type, COUNT(*) AS n_sources, CAST(SUM(row_count) AS BIGINT) AS n_rows
 FROM final GROUP BY severity, attack_type""")
 def severity_by_source(spark, sf):
     return (detect.detect(view(spark, sf, "flows")).groupBy("severity", "attack_type")
