@@ -26,9 +26,33 @@ NON_FINITE = ["nan", "+nan", "-nan", "inf", "+inf", "-inf",
 INFINITY = float("inf")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row.
+
+    Plain Columns are trees: using one twice evaluates it twice and doubles the
+    generated code, soon past the size the JVM compiles. A lambda variable is
+    bound once and keeps the plan small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _visible(c: Column) -> Column:
+    return F.ascii(c).between(33, 126)
+
+
 def strip(c: Column) -> Column:
-    """Text without surrounding blank space of any kind."""
-    return F.trim(c, F.lit(BLANKS))
+    """Text without surrounding blank space of any kind.
+
+    Text that starts and ends with a printable ASCII character is passed through;
+    the search through all kinds of blanks runs only for the rest.
+    """
+    return let(c, strip_bound)
+
+
+def strip_bound(c: Column) -> Column:
+    """:func:`strip` of a plain column or lambda variable."""
+    return (F.when(_visible(c) & _visible(F.right(c, F.lit(1))), c)
+            .otherwise(F.trim(c, F.lit(BLANKS))))
 
 
 def is_finite(c: Column) -> Column:
@@ -40,16 +64,30 @@ def guarded_double(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def cell_kind(raw: Column) -> Column:
-    """``null``, ``boolean``, ``integer``, ``float`` or ``string`` of a text cell."""
-    text = strip(raw)
-    return (F.when(raw.isNull() | (text == ""), F.lit("null"))
+def _kind(text: Column, number: Column) -> Column:
+    return (F.when(F.coalesce(text, F.lit("")) == "", F.lit("null"))
+            .when(number.isNotNull() & text.rlike(INTEGER), F.lit("integer"))
+            .when(is_finite(number), F.lit("float"))
             .when(F.lower(text).isin("true", "false"), F.lit("boolean"))
-            .when(text.rlike(INTEGER), F.lit("integer"))
-            .when(text.rlike(DECIMAL) & is_finite(guarded_double(text)), F.lit("float"))
             .otherwise(F.lit("string")))
 
 
+def _typed(raw: Column, body) -> Column:
+    """``body`` of a struct with the trimmed text, its number and its kind."""
+    def with_number(text):
+        return let(F.struct(text.alias("t"), parsed_number(text).alias("d")), with_kind)
+
+    def with_kind(x):
+        return let(F.struct(x["t"].alias("t"), x["d"].alias("d"),
+                            _kind(x["t"], x["d"]).alias("k")), body)
+    return let(let(raw, strip_bound), with_number)
+
+
+def cell_kind(raw: Column) -> Column:
+    """``null``, ``boolean``, ``integer``, ``float`` or ``string`` of a text cell."""
+    return _typed(raw, lambda x: x["k"])
+
+
 def whole_number_text(text: Column) -> Column:
     """Plain spelling of an integer: no plus sign, no leading zeros."""
     digits = F.regexp_replace(text, r"^[+-]?0*", "")
@@ -84,25 +122,23 @@ def float_text(d: Column) -> Column:
             .otherwise(F.concat(sign, mantissa, F.lit("e"), exponent)))
 
 
+def _text(x: Column) -> Column:
+    return (F.when(x["k"] == "boolean", F.initcap(F.lower(x["t"])))
+            .when(x["k"] == "integer", whole_number_text(x["t"]))
+            .when(x["k"] == "float", float_text(x["d"]))
+            .when(x["k"] == "string", x["t"]))
+
+
 def cell_text(raw: Column) -> Column:
     """A cell as it reads after typing: ``007`` is ``7``, ``true`` is ``True``."""
-    text = strip(raw)
-    kind = cell_kind(raw)
-    return (F.when(kind == "boolean", F.initcap(F.lower(text)))
-            .when(kind == "integer", whole_number_text(text))
-            .when(kind == "float", float_text(guarded_double(text)))
-            .when(kind == "string", text))
+    return _typed(raw, _text)
 
 
 def coerce(raw: Column) -> Column:
     """Kind, rendered text and numeric value of a cell as one struct."""
-    kind = cell_kind(raw)
-    return F.struct(
-        kind.alias("kind"),
-        cell_text(raw).alias("text"),
-        F.when(kind.isin("integer", "float"), finite_or_null(guarded_double(strip(raw))))
-        .alias("number"),
-    )
+    return _typed(raw, lambda x: F.struct(
+        x["k"].alias("kind"), _text(x).alias("text"),
+        F.when(x["k"].isin("integer", "float"), finite_or_null(x["d"])).alias("number")))
 
 
 def finite_or_null(d: Column) -> Column:
@@ -114,22 +150,37 @@ def to_number(raw: Column, strict: bool = False) -> Column:
 
     The generic reader also reads ``1_0`` as 10; ``strict`` refuses that.
     """
-    text = strip(raw)
-    if strict:
-        return F.when(text.rlike(DECIMAL), finite_or_null(guarded_double(text)))
-    return F.when(text.rlike(LOOSE_DECIMAL),
-                  finite_or_null(guarded_double(F.replace(text, F.lit("_"), F.lit("")))))
-
-
-def measurement(raw: Column) -> tuple[Column, Column]:
-    """Value and reason code of a capture measurement; exactly one is set."""
-    text = strip(raw)
-    value = F.when(text.rlike(DECIMAL), guarded_double(text))
-    code = (F.when(raw.isNull() | (text == ""), F.lit(vocab.MISSING_VALUE))
+    def number(text):
+        plain = parsed_number(text)
+        if strict:
+            return plain
+        grouped = F.when(text.contains("_") & text.rlike(LOOSE_DECIMAL),
+                         parsed_number(F.replace(text, F.lit("_"), F.lit(""))))
+        return F.coalesce(plain, grouped)
+    return let(let(let(raw, strip_bound), number), finite_or_null)
+
+
+def parsed_number(text: Column) -> Column:
+    """Number of an already trimmed text, infinite when it overflows.
+
+    Same grammar as ``DECIMAL`` without running a pattern per cell: what the
+    engine's cast accepts beyond it are words, a type letter at the end, hex
+    digits and leading control characters, and each shows in one character.
+    """
+    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
+    plain = ((first.between(48, 57) | first.isin(43, 45, 46))
+             & (last.between(48, 57) | (last == 46))
+             & ~text.contains("x") & ~text.contains("X"))
+    return F.when(plain, guarded_double(text))
+
+
+def measurement_code(text: Column, value: Column) -> Column:
+    """Reason code of a trimmed measurement and its parsed number; null when usable."""
+    return (F.when(is_finite(value), F.lit(None).cast("string"))
+            .when(value.isNotNull(), F.lit(vocab.NON_FINITE_VALUE))
+            .when(F.coalesce(text, F.lit("")) == "", F.lit(vocab.MISSING_VALUE))
             .when(F.lower(text).isin(NON_FINITE), F.lit(vocab.NON_FINITE_VALUE))
-            .when(value.isNull(), F.lit(vocab.UNPARSABLE_VALUE))
-            .when(~is_finite(value), F.lit(vocab.NON_FINITE_VALUE)))
-    return F.when(code.isNull(), value), code
+            .otherwise(F.lit(vocab.UNPARSABLE_VALUE)))
 
 
 def column_type(has_boolean: Column, has_integer: Column, has_float: Column,

@@ -8,7 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowguard import vocab
-from flowguard.functions.cells import BLANKS, strip
+from flowguard.functions.cells import strip
+
+# Runs of dashes, underscores and blanks. The look-ahead drops ordinary ASCII
+# characters after one range check.
+LABEL_GAPS = (r"(?:(?=[^!-,.-^`-~])[-_\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2013\u2014"
+              r"\u2028\u2029\u202f\u205f\u3000])+")
 
 
 def literal_map(entries: dict) -> Column:
@@ -59,18 +64,19 @@ def class_of_code(code: Column) -> Column:
 
 
 def normalize_capture_label(label: Column) -> Column:
-    """Capture label with dashes and underscores as spaces, lower case."""
-    spaced = F.translate(label, "-–—_", "    ")
-    blanks = "[" + "".join(f"\\x{{{ord(b):x}}}" for b in BLANKS) + "]+"
-    return F.lower(F.trim(F.regexp_replace(spaced, blanks, " ")))
+    """Capture label with dashes, underscores and blanks as single spaces, lower case."""
+    return F.lower(F.trim(F.regexp_replace(label, LABEL_GAPS, " ")))
+
+
+def capture_class(key: Column) -> Column:
+    """Class of a normalised capture label, null when none is known."""
+    return lookup(vocab.CAPTURE_LABELS, key)
 
 
-def capture_class(label: Column) -> tuple[Column, Column]:
-    """Class and reason code of a capture label; exactly one is set."""
-    key = F.coalesce(normalize_capture_label(label), F.lit(""))
-    found = lookup(vocab.CAPTURE_LABELS, key)
-    code = (F.when(key == "", F.lit(vocab.MISSING_LABEL))
+def capture_label_code(key: Column, klass: Column) -> Column:
+    """Reason code of a normalised capture label; null when it is usable."""
+    return (F.when(klass.isNotNull(), F.lit(None).cast("string"))
+            .when(F.coalesce(key, F.lit("")) == "", F.lit(vocab.MISSING_LABEL))
             .when(F.replace(key, F.lit(" "), F.lit("")).contains(vocab.EXCLUDED_CAPTURE_WORD),
                   F.lit(vocab.HEARTBLEED))
-            .when(found.isNull(), F.lit(vocab.UNKNOWN_LABEL)))
-    return F.when(code.isNull(), found), code
+            .otherwise(F.lit(vocab.UNKNOWN_LABEL)))

@@ -24,63 +24,83 @@ REASON_TEXT = {
 }
 
 
-def _first(codes: list[Column]) -> Column:
-    return F.coalesce(*codes)
+_RESULT = (*vocab.FEATURES, "attack_type", "code", "bad_name", "bad_text")
 
 
 def convert(rows: DataFrame) -> DataFrame:
-    """Add ``attack_type``, the five features, ``code`` and ``reason`` to raw text rows.
+    """Add class, features and, for unusable rows, a code to raw text rows.
 
     ``code`` is null for a usable row. The label is checked first, then the
     measurements in their fixed order, then the sums; the first problem counts.
+    ``bad_name`` and ``bad_text`` name the offending cell.
     """
     names = vocab.CAPTURE_MEASUREMENTS
     keep = [c for c in rows.columns if c not in names and c != "label"]
-    klass, label_code = labels.capture_class(F.col("label"))
     staged = rows.select(
-        *keep, F.col("label").alias("_label"), klass.alias("attack_type"),
-        label_code.alias("_label_code"), *[cells.strip(F.col(n)).alias(f"_t_{n}") for n in names])
-    measured = {n: cells.measurement(F.col(f"_t_{n}")) for n in names}
+        *keep, F.trim(F.col("label")).alias("_label"),
+        labels.normalize_capture_label(F.col("label")).alias("_key"),
+        _measure_all([F.col(n) for n in names]).alias("_m"))
+    staged = staged.withColumn("_class", labels.capture_class(F.col("_key")))
+
+    def value(name):
+        return F.get("_m", F.lit(names.index(name)))["value"]
+
     staged = staged.select(
-        "*", *[measured[n][0].alias(f"_v_{n}") for n in names],
-        *[measured[n][1].alias(f"_c_{n}") for n in names])
-    total_bytes = F.col("_v_fwd_bytes") + F.col("_v_bwd_bytes")
-    total_packets = F.col("_v_fwd_packets") + F.col("_v_bwd_packets")
-    derived = F.when(~(cells.is_finite(total_bytes) & cells.is_finite(total_packets)),
-                     F.lit(vocab.NON_FINITE_DERIVED))
-    staged = staged.withColumn(
-        "code", _first([F.col("_label_code"), *[F.col(f"_c_{n}") for n in names], derived]))
-    bad_name = _first([F.when(F.col(f"_c_{n}").isNotNull(), F.lit(n)) for n in names])
-    bad_text = _first([F.when(F.col(f"_c_{n}").isNotNull(), F.col(f"_t_{n}")) for n in names])
-    code, shown = F.col("code"), F.trim(F.col("_label"))
-    reason = (F.when(code == vocab.HEARTBLEED,
-                     F.format_string(REASON_TEXT[vocab.HEARTBLEED], shown))
-              .when(code == vocab.UNKNOWN_LABEL,
-                    F.format_string(REASON_TEXT[vocab.UNKNOWN_LABEL], shown))
-              .when(code == vocab.MISSING_VALUE,
-                    F.format_string(REASON_TEXT[vocab.MISSING_VALUE], bad_name))
-              .when(code == vocab.UNPARSABLE_VALUE,
-                    F.format_string(REASON_TEXT[vocab.UNPARSABLE_VALUE], bad_name, bad_text))
-              .when(code == vocab.NON_FINITE_VALUE,
-                    F.format_string(REASON_TEXT[vocab.NON_FINITE_VALUE], bad_name, bad_text))
-              .when(code == vocab.MISSING_LABEL, F.lit(REASON_TEXT[vocab.MISSING_LABEL]))
-              .when(code.isNotNull(), F.lit(REASON_TEXT[vocab.NON_FINITE_DERIVED])))
-    usable = code.isNull()
-    features = {
-        "flow_duration": F.col("_v_flow_duration"), "total_bytes": total_bytes,
-        "total_packets": total_packets, "avg_packet_size": F.col("_v_avg_packet_size"),
-        "packet_rate": F.col("_v_packet_rate"),
-    }
-    return staged.select(
-        *keep, F.when(usable, F.col("attack_type")).alias("attack_type"),
-        *[F.when(usable, features[f]).alias(f) for f in vocab.FEATURES],
-        "code", reason.alias("reason"))
+        *keep, "_class", "_m", _problem(
+            labels.capture_label_code(F.col("_key"), F.col("_class")), F.lit("label"),
+            F.col("_label")).alias("_label_problem"),
+        (value("fwd_bytes") + value("bwd_bytes")).alias("_bytes"),
+        (value("fwd_packets") + value("bwd_packets")).alias("_packets"))
+    first_bad = F.get(F.filter("_m", lambda m: m["problem"]["code"].isNotNull()),
+                      F.lit(0))["problem"]
+    derived = F.when(
+        ~(cells.is_finite(F.col("_bytes")) & cells.is_finite(F.col("_packets"))),
+        _problem(F.lit(vocab.NON_FINITE_DERIVED), F.lit("total_bytes"), F.lit("")))
+    bad = F.coalesce(F.when(F.col("_label_problem.code").isNotNull(), F.col("_label_problem")),
+                     first_bad, derived)
+    result = F.struct(
+        F.col("_class").alias("attack_type"), value("flow_duration").alias("flow_duration"),
+        F.col("_bytes").alias("total_bytes"), F.col("_packets").alias("total_packets"),
+        value("avg_packet_size").alias("avg_packet_size"),
+        value("packet_rate").alias("packet_rate"), bad.alias("bad"))
+    # Unpacking through inline keeps later filters on the code above this point;
+    # pushed below it, they would evaluate the whole conversion a second time.
+    return staged.select(*keep, F.inline(F.array(result))).select(
+        *keep, "attack_type", *vocab.FEATURES, F.col("bad.code").alias("code"),
+        F.col("bad.name").alias("bad_name"), F.col("bad.text").alias("bad_text"))
+
+
+def _measure_all(raw: list[Column]) -> Column:
+    """Array with value and problem of each measurement, in their fixed order."""
+    names = F.array(*[F.lit(n) for n in vocab.CAPTURE_MEASUREMENTS])
+    texts = F.transform(F.array(*raw), cells.strip_bound)
+    numbers = F.transform(texts, lambda t: F.struct(
+        t.alias("t"), cells.parsed_number(t).alias("v")))
+    return F.transform(numbers, lambda m, i: F.struct(
+        m["v"].alias("value"), _problem(cells.measurement_code(m["t"], m["v"]),
+                                        F.get(names, i), m["t"]).alias("problem")))
+
+
+def _problem(code: Column, name: Column, text: Column) -> Column:
+    return F.struct(code.alias("code"), name.alias("name"), text.alias("text"))
+
+
+def reason_text() -> Column:
+    """Sentence for a row left out."""
+    code, name, text = F.col("code"), F.col("bad_name"), F.col("bad_text")
+    shown = {vocab.HEARTBLEED: [text], vocab.UNKNOWN_LABEL: [text], vocab.MISSING_VALUE: [name],
+             vocab.UNPARSABLE_VALUE: [name, text], vocab.NON_FINITE_VALUE: [name, text]}
+    out = F.lit(None).cast("string")
+    for key, pattern in reversed(list(REASON_TEXT.items())):
+        args = shown.get(key)
+        out = F.when(code == key, F.format_string(pattern, *args) if args
+                     else F.lit(pattern)).otherwise(out)
+    return out
 
 
 def examples(converted: DataFrame) -> DataFrame:
     """Usable rows: five single-precision features, class and label code."""
-    keep = [c for c in converted.columns
-            if c not in (*vocab.FEATURES, "attack_type", "code", "reason")]
+    keep = [c for c in converted.columns if c not in _RESULT]
     return converted.where(F.col("code").isNull()).select(
         *keep, F.array(*[F.col(f).cast("float") for f in vocab.FEATURES]).alias("features"),
         F.col("attack_type").alias("label"),
@@ -89,8 +109,9 @@ def examples(converted: DataFrame) -> DataFrame:
 
 def exclusions(converted: DataFrame) -> DataFrame:
     """Rows left out, with code and reason."""
-    drop = (*vocab.FEATURES, "attack_type")
-    return converted.where(F.col("code").isNotNull()).drop(*drop)
+    keep = [c for c in converted.columns if c not in _RESULT]
+    return converted.where(F.col("code").isNotNull()).select(
+        *keep, "code", reason_text().alias("reason"))
 
 
 def exclusion_counts(excluded: DataFrame, *keys: str) -> DataFrame:

@@ -83,10 +83,11 @@ SELECT row_key, normalized,
        WHEN klass IS NULL THEN 'unknown_label' END AS code
 FROM keyed LEFT JOIN {CAPTURE_TABLE} ON normalized = spelling""")
 def cic_labels(spark, sf):
-    klass, code = labels.capture_class(F.col("label"))
-    return view(spark, sf, "capture_cells").select(
-        "row_key", labels.normalize_capture_label(F.col("label")).alias("normalized"),
-        klass.alias("attack_type"), code.alias("code"))
+    keyed = view(spark, sf, "capture_cells").select(
+        "row_key", labels.normalize_capture_label(F.col("label")).alias("normalized"))
+    classed = keyed.withColumn("attack_type", labels.capture_class(F.col("normalized")))
+    return classed.withColumn(
+        "code", labels.capture_label_code(F.col("normalized"), F.col("attack_type")))
 
 
 @query("normalize_headers", views="log_cells", oracle="""
