@@ -145,6 +145,15 @@ def finite_or_null(d: Column) -> Column:
     return F.when(is_finite(d), d)
 
 
+def plain_number(raw: Column) -> Column:
+    """Number of a cell in the strict grammar with at most spaces around it.
+
+    Short enough to stay in generated code; cells it does not read go to the
+    slower expressions below.
+    """
+    return F.when(F.trim(raw).rlike(DECIMAL), guarded_double(F.trim(raw)))
+
+
 def to_number(raw: Column, strict: bool = False) -> Column:
     """A cell as a measurement; null when it is not a finite number.
 
@@ -157,7 +166,8 @@ def to_number(raw: Column, strict: bool = False) -> Column:
         grouped = F.when(text.contains("_") & text.rlike(LOOSE_DECIMAL),
                          parsed_number(F.replace(text, F.lit("_"), F.lit(""))))
         return F.coalesce(plain, grouped)
-    return let(let(let(raw, strip_bound), number), finite_or_null)
+    slow = let(let(raw, strip_bound), number)
+    return let(F.coalesce(plain_number(raw), slow), finite_or_null)
 
 
 def parsed_number(text: Column) -> Column:

@@ -39,18 +39,28 @@ def convert(rows: DataFrame) -> DataFrame:
     staged = rows.select(
         *keep, F.trim(F.col("label")).alias("_label"),
         labels.normalize_capture_label(F.col("label")).alias("_key"),
-        _measure_all([F.col(n) for n in names]).alias("_m"))
-    staged = staged.withColumn("_class", labels.capture_class(F.col("_key")))
+        *[F.col(n).alias(f"_r_{n}") for n in names],
+        *[cells.plain_number(F.col(n)).alias(f"_v_{n}") for n in names])
+    clean = F.lit(True)
+    for n in names:
+        clean = clean & F.coalesce(cells.is_finite(F.col(f"_v_{n}")), F.lit(False))
+    # Only rows with a cell that is no plain number take the long way.
+    staged = staged.select(
+        *keep, "_label", "_key", labels.capture_class(F.col("_key")).alias("_class"),
+        *[f"_v_{n}" for n in names],
+        F.when(~clean, _measure_all([F.col(f"_r_{n}") for n in names])).alias("_m"))
 
     def value(name):
-        return F.get("_m", F.lit(names.index(name)))["value"]
+        return F.coalesce(F.col(f"_v_{name}"), F.get("_m", F.lit(names.index(name)))["value"])
 
     staged = staged.select(
         *keep, "_class", "_m", _problem(
             labels.capture_label_code(F.col("_key"), F.col("_class")), F.lit("label"),
             F.col("_label")).alias("_label_problem"),
+        value("flow_duration").alias("_duration"),
         (value("fwd_bytes") + value("bwd_bytes")).alias("_bytes"),
-        (value("fwd_packets") + value("bwd_packets")).alias("_packets"))
+        (value("fwd_packets") + value("bwd_packets")).alias("_packets"),
+        value("avg_packet_size").alias("_size"), value("packet_rate").alias("_rate"))
     first_bad = F.get(F.filter("_m", lambda m: m["problem"]["code"].isNotNull()),
                       F.lit(0))["problem"]
     derived = F.when(
@@ -59,10 +69,10 @@ def convert(rows: DataFrame) -> DataFrame:
     bad = F.coalesce(F.when(F.col("_label_problem.code").isNotNull(), F.col("_label_problem")),
                      first_bad, derived)
     result = F.struct(
-        F.col("_class").alias("attack_type"), value("flow_duration").alias("flow_duration"),
+        F.col("_class").alias("attack_type"), F.col("_duration").alias("flow_duration"),
         F.col("_bytes").alias("total_bytes"), F.col("_packets").alias("total_packets"),
-        value("avg_packet_size").alias("avg_packet_size"),
-        value("packet_rate").alias("packet_rate"), bad.alias("bad"))
+        F.col("_size").alias("avg_packet_size"), F.col("_rate").alias("packet_rate"),
+        bad.alias("bad"))
     # Unpacking through inline keeps later filters on the code above this point;
     # pushed below it, they would evaluate the whole conversion a second time.
     return staged.select(*keep, F.inline(F.array(result))).select(
