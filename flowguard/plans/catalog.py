@@ -3,6 +3,8 @@
 from flowguard.plans import (  # noqa: F401
     cells,
     detection,
+    profiles,
+    relational,
     training,
 )
 from flowguard.plans.registry import ORACLES, QUERIES

@@ -76,6 +76,17 @@ SELECT l_suppkey AS source_id, l_orderkey AS row_idx, {ROW_KEY} AS row_key,
           ELSE 'benign' END)
   END AS raw
 FROM {{lineitem}}""",
+    # Header rows: sixteen names per source, some of them swapped for filler.
+    "headers": """
+SELECT DISTINCT l_suppkey AS source_id, (l_partkey % 16 * 7 + l_suppkey) % 16 AS position,
+  CASE WHEN (l_suppkey + 1) * (l_partkey % 16 + 3) % 5 = 0 THEN CONCAT('filler ', CAST(l_partkey % 16 AS STRING))
+  ELSE (CASE l_partkey % 16 WHEN 0 THEN ' Flow Duration' WHEN 1 THEN 'Total Length of Fwd Packets'
+    WHEN 2 THEN 'Total Length of Bwd Packets' WHEN 3 THEN 'Label' WHEN 4 THEN 'Attack Category'
+    WHEN 5 THEN 'packets' WHEN 6 THEN 'Avg Packet Size' WHEN 7 THEN 'Mean Packet Size (fwd)'
+    WHEN 8 THEN 'Flow Packets per Second' WHEN 9 THEN 'Duration' WHEN 10 THEN 'Flow Bytes/s'
+    WHEN 11 THEN 'Sum of total packets' WHEN 12 THEN 'Packet Rate' WHEN 13 THEN 'class'
+    WHEN 14 THEN 'src ip' ELSE 'Max Flow Duration us' END) END AS name
+FROM {lineitem}""",
     "requests": """
 SELECT event_id, CAST(user_id AS STRING) AS peer, ts,
   CASE WHEN event_id % 3 = 0 THEN CONCAT(' 10.0.0.', CAST(user_id AS STRING), ' , 172.16.0.1')
