@@ -2,9 +2,11 @@
 
 from flowguard.plans import (  # noqa: F401
     cells,
+    dashboards,
     detection,
     profiles,
     relational,
+    traffic,
     training,
 )
 from flowguard.plans.registry import ORACLES, QUERIES

@@ -147,6 +147,12 @@ SELECT l_suppkey AS source_id, {ROW_KEY} AS row_key,
   CAST(1024 - l_partkey * 7 % 301 - l_orderkey * 5 % 301
        - (l_suppkey * 37 + l_linenumber) % 301 AS DOUBLE) / 1024 AS p3
 FROM {{lineitem}}""",
+    # Stated and predicted class per row with a score, for metrics.
+    "scored": """
+SELECT l_partkey % 8 AS label_code,
+  CASE WHEN l_orderkey % 3 = 0 THEN (l_partkey + l_linenumber) % 8 ELSE l_partkey % 8 END AS predicted_code,
+  CAST((l_orderkey * 13 + l_partkey) % 1000 AS DOUBLE) / 1024 AS score
+FROM {lineitem}""",
 }
 
 
