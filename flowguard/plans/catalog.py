@@ -4,6 +4,7 @@ from flowguard.plans import (  # noqa: F401
     cells,
     dashboards,
     detection,
+    models,
     profiles,
     relational,
     traffic,
