@@ -84,9 +84,13 @@ def train(examples: DataFrame, model_name: str = FOREST, estimator=None,
     if model_name != FOREST:
         raise ModelRefused(f"no estimator for {model_name!r}; only {FOREST!r} can be trained")
     dataset.require_complete(completeness or dataset.Completeness(), allow_incomplete)
-    checks = dataset.validate(examples)
-    model = Pipeline(stages=[estimator or forest(trees, seed)]).fit(prepared(examples))
-    counts = dataset.class_counts(examples).orderBy("label_code").collect()
+    examples = examples.persist()  # checks, weights and fit each pass over it
+    try:
+        checks = dataset.validate(examples)
+        model = Pipeline(stages=[estimator or forest(trees, seed)]).fit(prepared(examples))
+        counts = dataset.class_counts(examples).orderBy("label_code").collect()
+    finally:
+        examples.unpersist()
     run = {"model_name": model_name, "version": "1", "feature_order": list(vocab.FEATURES),
            "classes": [r["label"] for r in counts], "rows_trained": checks["n_rows"],
            "class_counts": {r["label"]: r["n_rows"] for r in counts},
