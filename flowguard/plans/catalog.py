@@ -7,6 +7,7 @@ from flowguard.plans import (  # noqa: F401
     models,
     profiles,
     relational,
+    streams,
     traffic,
     training,
 )
