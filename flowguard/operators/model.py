@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -117,9 +119,6 @@ def score(model: Model, rows: DataFrame) -> DataFrame:
 
 def score_with(estimator, rows: DataFrame) -> DataFrame:
     """Score with any object that has ``predict_proba``, in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def probabilities(features: pd.Series) -> pd.Series:
         return pd.Series(list(np.asarray(estimator.predict_proba(np.vstack(features)), float)))
