@@ -99,17 +99,15 @@ def overall_metrics(metrics: DataFrame) -> DataFrame:
           for m in ("precision", "recall", "f1")])
 
 
-def roc_auc(scored: DataFrame, score: str = "score", positive: str = "positive",
-            buckets: int = 256) -> DataFrame:
+def roc_auc(scored: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """Exact area under the curve per class, ties counted half.
 
     Rows are first counted per distinct score; the running total over scores is
-    summed in score buckets, so no task sorts all scores of a class.
+    summed range by range, so no task sorts all scores of a class.
     """
     counts = scored.groupBy("class_code", score).agg(
         F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
-    total = running_totals(counts, ["class_code"], score,
-                           F.floor(F.col(score) * buckets), ["neg"])
+    total = running_totals(counts, ["class_code"], score, ["neg"])
     wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
     return total.groupBy("class_code").agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(wins).alias("wins")) \

@@ -148,11 +148,12 @@ def batch_decisions(requests: DataFrame, limit: int = vocab.LIMITER_LIMIT,
     return ordered.mapInPandas(run, f"{kept}, {DECISION}")
 
 
-def trailing_hits(requests: DataFrame, window_seconds: int, buckets: int = 8) -> DataFrame:
+def trailing_hits(requests: DataFrame, window_seconds: int,
+                  ranges: int | None = None) -> DataFrame:
     """Requests of the client in the window ending at each request time.
 
     Every time adds its hits and takes them back one window later, so the count
-    is a running total, which is summed in time buckets.
+    is a running total over (client, time).
     """
     window = window_seconds * MICROS
     hits = requests.groupBy("client", "at").agg(F.count(F.lit(1)).alias("hits"))
@@ -162,7 +163,6 @@ def trailing_hits(requests: DataFrame, window_seconds: int, buckets: int = 8) ->
                  (-F.col("hits")).alias("step")))))
     merged = steps.groupBy("client", "at").agg(F.sum("hits").alias("hits"),
                                                F.sum("step").alias("step"))
-    bucket = F.floor(F.col("at") / F.lit(window // buckets))
-    total = running_totals(merged, ["client"], "at", bucket, ["step"])
+    total = running_totals(merged, ["client"], "at", ["step"], ranges)
     return total.where(F.col("hits") > 0).select(
         "client", "at", "hits", F.col("cum_step").alias("in_window"))

@@ -48,10 +48,12 @@ def _request_stream(spark, sf):
 
 @query("stream_limiter", views="")
 def stream_limiter(spark, sf):
-    """The limiter as a stateful stream over all requests."""
+    """The limiter as a stream over all requests."""
     keyed = _request_stream(spark, sf).select(
         F.col("event_id").alias("id"), "client", limiter.micros(F.col("ts")).alias("at"))
-    return jobs.drain(spark, jobs.limited(keyed, traffic.LIMIT, traffic.WINDOW), "append")
+    folder = jobs.work_folder(spark)
+    jobs.limited_batches(keyed, folder, traffic.LIMIT, traffic.WINDOW).awaitTermination()
+    return jobs.limited_results(spark, folder)
 
 
 ORACLES["stream_limiter"] = ORACLES["limiter_decisions"]

@@ -38,13 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     the setting is required.
     """
     context = spark.sparkContext
-    shared = spark.conf.get(CHECKPOINT_CONF, None)
-    if shared:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(shared)
-        return shared
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(tempfile.mkdtemp(prefix="flowguard-"), "ckpt"))
+    shared = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    current = context.getCheckpointDir()
+    if current is not None:
+        return current
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
+        shared = os.path.join(tempfile.mkdtemp(prefix="flowguard-"), "checkpoints")
+    context.setCheckpointDir(shared)
     return context.getCheckpointDir()

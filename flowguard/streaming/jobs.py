@@ -91,11 +91,12 @@ def windowed_verdicts(flows: DataFrame, time: str = "seen_at", width: str = "1 h
 def limited(requests: DataFrame, limit: int = vocab.LIMITER_LIMIT,
             window_seconds: int = vocab.LIMITER_WINDOW_SECONDS,
             late: str = "1 minute") -> DataFrame:
-    """Decisions for a stream of ``(client, at, id)``; state is one short list per client.
+    """Live decisions for a stream of ``(client, at, id)``, in order of arrival.
 
-    Requests are decided in time order within a micro-batch and in arrival order
-    across them, as a live limiter does. A client's list is dropped once the
-    watermark has passed its last request by a window.
+    State is one short list per client, and a client's rows pass through in Arrow
+    batches, so a busy client needs time but no memory. The clock of a client
+    never runs back: a late row is decided at the time of the last admission.
+    A list is dropped once the watermark has passed it by a window.
     """
     window = window_seconds * limiter.MICROS
 
@@ -103,14 +104,16 @@ def limited(requests: DataFrame, limit: int = vocab.LIMITER_LIMIT,
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["at", "id"], kind="stable")
-        hits = list(state.get[0]) if state.exists else []
-        times = rows["at"].to_numpy(np.int64)
-        ok, left, wait, hits = limiter.decide(hits, times, limit, window)
+        hits, last = list(state.get[0]) if state.exists else [], 0
+        for frame in frames:
+            rows = frame[["client", "at", "id"]].sort_values(["at", "id"], kind="stable")
+            times = np.maximum(rows["at"].to_numpy(np.int64), hits[-1] if hits else 0)
+            ok, left, wait, hits = limiter.decide(hits, times, limit, window)
+            last = max(last, int(times[-1]))
+            yield rows.assign(allowed=ok, remaining=left, retry_after=wait)
         state.update((hits,))
-        expiry = (int(times[-1]) + window) // 1000 + 1
+        expiry = (last + window) // 1000 + 1
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield rows[["client", "at", "id"]].assign(allowed=ok, remaining=left, retry_after=wait)
 
     timed = requests.select("client", "at", "id", F.timestamp_micros("at").alias("ts"))
     return timed.withWatermark("ts", late).groupBy("client").applyInPandasWithState(
@@ -118,6 +121,36 @@ def limited(requests: DataFrame, limit: int = vocab.LIMITER_LIMIT,
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def limited_batches(requests: DataFrame, out: str, limit: int = vocab.LIMITER_LIMIT,
+                    window_seconds: int = vocab.LIMITER_WINDOW_SECONDS, once: bool = True):
+    """Decisions per micro-batch with the distributed operator, for very busy clients.
+
+    The admissions still inside the window are carried to the next micro-batch
+    as rows and decided again first, which admits them again. Requests may come
+    in any order inside a micro-batch but not across them. Every folder is named
+    by its batch and overwritten on a retry.
+    """
+    schema = f"client string, at bigint, id bigint, carried boolean, {limiter.DECISION}"
+
+    def write(frame: DataFrame, batch_id: int) -> None:
+        spark = frame.sparkSession
+        rows = frame.select("client", "at", "id", F.lit(False).alias("carried"))
+        if batch_id:
+            earlier = spark.read.schema(schema).parquet(f"{out}/decided/batch={batch_id - 1}")
+            clock = earlier.agg(F.max("at")).first()[0] or 0
+            open_hits = earlier.where(F.col("allowed") & (
+                F.col("at") > clock - window_seconds * limiter.MICROS))
+            rows = rows.unionByName(open_hits.select(
+                "client", "at", "id", F.lit(True).alias("carried")))
+        decided = limiter.batch_decisions(rows, limit, window_seconds)
+        decided.write.mode("overwrite").parquet(f"{out}/decided/batch={batch_id}")
+    return start(requests.select("client", "at", "id"), write, out, "append", once)
+
+
+def limited_results(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/decided/*").where("NOT carried").drop("carried")
+
+
 def audit_sink(actions: DataFrame, out: str, enabled: bool = True, once: bool = True):
     """Append known audit actions; unknown ones go to a table of their own."""
     def write(frame: DataFrame, batch_id: int) -> None:

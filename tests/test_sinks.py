@@ -98,19 +98,26 @@ def test_streamed_ingest_appends_new_files_once(spark, tmp_path):
     assert spark.read.parquet(f"{out}/errors").where("problem = 'duplicate_column_name'").count() == 1
 
 
-def test_streamed_limits_continue_across_batches(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    first = spark.createDataFrame([("a", 10**12 + i * 1_000_000, i) for i in range(3)], "client string, at bigint, id bigint")
-    later = spark.createDataFrame([("a", 10**12 + i * 1_000_000, i) for i in (3, 60, 61)], "client string, at bigint, id bigint")
-    first.coalesce(1).write.parquet(folder)
-    work = str(tmp_path / "work")
+def requests_at(spark, seconds):
+    return spark.createDataFrame([("a", 10**12 + i * 1_000_000, i) for i in seconds],
+                                 "client string, at bigint, id bigint").coalesce(1)
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_streamed_limits_continue_across_batches(spark, tmp_path, keyed):
+    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
 
     def run():
-        stream = jobs.limited(jobs.read_table(spark, folder), 2, 60, late="10 minutes")
-        jobs.start(stream, lambda f, n: f.write.mode("overwrite").parquet(f"{work}/out/batch={n}"),
-                   work, "append", True).awaitTermination()
+        stream = jobs.read_table(spark, folder)
+        if not keyed:
+            return jobs.limited_batches(stream, work, 2, 60).awaitTermination()
+        return jobs.start(jobs.limited(stream, 2, 60, late="10 minutes"),
+                          lambda f, n: f.write.mode("overwrite").parquet(f"{work}/out/batch={n}"),
+                          work, "append", True).awaitTermination()
+    requests_at(spark, range(3)).write.parquet(folder)
     run()
-    later.coalesce(1).write.mode("append").parquet(folder)
+    requests_at(spark, (3, 60, 61)).write.mode("append").parquet(folder)
     run()
-    got = {r["id"]: r["allowed"] for r in spark.read.parquet(f"{work}/out/*").collect()}
-    assert got == {0: True, 1: True, 2: False, 3: False, 60: True, 61: True}
+    rows = spark.read.parquet(f"{work}/out/*") if keyed else jobs.limited_results(spark, work)
+    assert {r["id"]: r["allowed"] for r in rows.collect()} == {
+        0: True, 1: True, 2: False, 3: False, 60: True, 61: True}
