@@ -15,6 +15,10 @@ def _value(v):
     return v
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "tinyint": "TINYINT", "double": "DOUBLE",
+         "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     for path in sorted(Path(sf_dir).glob("*.parquet")):
@@ -32,6 +36,10 @@ def difference(spark, con, sf_dir, fn, sql):
     wide = [d[0] for d in cur.description if str(d[1]).upper() in ("HUGEINT", "INT128")]
     if wide:
         return f"cast {wide} to BIGINT in the SQL"
+    kinds = {c: TYPES.get(t, t) for c, t in got.dtypes}
+    odd = [(d[0], kinds[d[0]], str(d[1])) for d in cur.description if str(d[1]) != kinds[d[0]]]
+    if odd:
+        return f"types {odd}"
     order = sorted(names)
     want = Counter(tuple(_value(r[names.index(c)]) for c in order) for r in cur.fetchall())
     have = Counter(tuple(_value(r[c]) for c in order) for r in got.collect())
