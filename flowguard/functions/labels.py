@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowguard import vocab
-from flowguard.functions.cells import strip
 
 # Runs of dashes, underscores and blanks. The look-ahead drops ordinary ASCII
 # characters after one range check.
@@ -16,8 +15,15 @@ LABEL_GAPS = (r"(?:(?=[^!-,.-^`-~])[-_\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\
               r"\u2028\u2029\u202f\u205f\u3000])+")
 
 
+def _sql(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def literal_map(entries: dict) -> Column:
-    return F.create_map(*[F.lit(v) for v in chain.from_iterable(entries.items())])
+    """A small fixed table as one literal."""
+    return F.expr("map(" + ", ".join(_sql(v) for v in chain.from_iterable(entries.items())) + ")")
 
 
 def lookup(entries: dict, key: Column) -> Column:
@@ -26,12 +32,12 @@ def lookup(entries: dict, key: Column) -> Column:
 
 def normalize_header(name: Column) -> Column:
     """Lower-case letters and digits of a header, nothing else."""
-    return F.regexp_replace(F.lower(strip(name)), "[^0-9a-z]+", "")
+    return F.regexp_replace(F.lower(name), "[^0-9a-z]+", "")
 
 
 def normalize_label(label: Column) -> Column:
     """Lower-case words of a label with single spaces between them."""
-    return F.trim(F.regexp_replace(F.lower(strip(label)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(label), "[^a-z0-9]+", " "))
 
 
 def label_class(label: Column) -> Column:

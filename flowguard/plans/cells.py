@@ -10,6 +10,7 @@ from flowguard.operators import dataset
 from flowguard.plans.detection import CLASS_TABLE, LABEL_CODES_SQL
 from flowguard.plans.registry import query, values_sql
 from flowguard.plans.views import view
+from flowguard.session import spread
 
 NUMBER = r"[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?"
 LOOSE = (r"[+-]?([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)"
@@ -33,7 +34,8 @@ SELECT row_key, kind,
   CASE WHEN kind IN ('integer', 'float') THEN d END AS number
 FROM kinds""")
 def coerce_cells(spark, sf):
-    return view(spark, sf, "log_cells").select("row_key", cells.coerce(F.col("raw")).alias("c")) \
+    rows = spread(view(spark, sf, "log_cells").select("row_key", "raw"), "row_key")
+    return rows.select("row_key", cells.coerce(F.col("raw")).alias("c")) \
         .select("row_key", "c.kind", "c.text", "c.number")
 
 

@@ -9,6 +9,7 @@ from flowguard.operators import headers, profile
 from flowguard.plans.cells import KIND_SQL
 from flowguard.plans.registry import query, values_sql
 from flowguard.plans.views import view
+from flowguard.session import spread
 
 
 @query("column_profile", views="log_cells", oracle=f"""
@@ -22,7 +23,7 @@ SELECT source_id, col_name, CASE WHEN n_kinds = 0 THEN 'null' WHEN n_kinds = 1 T
     WHEN n_kinds = 2 AND k1 = 'float' AND k2 = 'integer' THEN 'float' ELSE 'mixed' END AS value_type,
   n_rows - n_values AS null_count, n_rows FROM c JOIN r USING (source_id)""")
 def column_profile(spark, sf):
-    return profile.column_profile(view(spark, sf, "log_cells"))
+    return profile.column_profile(spread(view(spark, sf, "log_cells"), "row_key"))
 
 
 @query("column_union", views="log_cells", oracle="""

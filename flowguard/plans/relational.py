@@ -11,6 +11,7 @@ from flowguard.functions import scoring
 from flowguard.operators import integrity, report
 from flowguard.plans.registry import query, values_sql
 from flowguard.plans.views import view
+from flowguard.session import spread
 
 _CLASSES = ", ".join(f"'{c}'" for c in vocab.ATTACK_TYPES)
 GUIDE = values_sql([(c, i, line) for c, lines in vocab.GUIDANCE.items()
@@ -62,7 +63,7 @@ def report_documents(spark, sf):
 flat AS (SELECT prediction_id, UNNEST(rows) AS r, UNNEST(range(len(rows))) AS ordinal FROM listed)
 SELECT prediction_id, CAST(ordinal AS INTEGER) AS ordinal, r.field AS field, r.value AS "value" FROM flat""")
 def report_export(spark, sf):
-    return report.export_rows(_documents(spark, sf))
+    return report.export_rows(spread(_documents(spark, sf), "evidence.prediction_id"))
 
 
 @query("recommendations", views="predictions", oracle=f"""

@@ -10,6 +10,7 @@ from flowguard.plans.cells import CAPTURE_TABLE, NUMBER
 from flowguard.plans.detection import CLASS_TABLE, LABEL_CODES_SQL
 from flowguard.plans.registry import query
 from flowguard.plans.views import view
+from flowguard.session import spread
 
 
 def _measure(name: str) -> str:
@@ -49,7 +50,7 @@ used AS (SELECT source_id, row_key, klass AS label, t.code AS label_code,
 
 
 def converted(spark, sf):
-    return capture.convert(view(spark, sf, "capture_cells"))
+    return capture.convert(spread(view(spark, sf, "capture_cells"), "row_key"))
 
 
 def example_rows(spark, sf):

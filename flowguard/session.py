@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -48,3 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         shared = os.path.join(tempfile.mkdtemp(prefix="flowguard-"), "checkpoints")
     context.setCheckpointDir(shared)
     return context.getCheckpointDir()
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for row-by-row work on input of few splits.
+
+    A table with at least as many splits as cores is returned as it is, so large
+    inputs get no extra shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows if splits >= cores else rows.repartition(cores, *keys)
