@@ -166,3 +166,12 @@ def test_capture_header_containment(spark):
 def test_delimiters(spark):
     assert evaluate(spark, ["a,b;c", "a;b;c,d", "a\tb", "a|b|c,d", "a", "a;b,c"], headers.delimiter) == [
         ",", ";", "\t", "|", ",", ","]
+
+
+def test_storage_names_and_splits(spark):
+    from flowguard.operators import analytics
+    names = [r["n"] for r in spark.range(50).select(text.storage_name(".csv").alias("n")).collect()]
+    assert len(set(names)) == 50 and all(len(n) == 36 and n.endswith(".csv") for n in names)
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("row_key"))
+    parts = [p.count() for p in analytics.split(rows)]
+    assert sum(parts) == 4000 and 2600 < parts[0] < 3000 and 300 < parts[1] < 500

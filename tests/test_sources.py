@@ -205,3 +205,36 @@ def test_label_rendering_from_json(spark, tmp_path):
     flows, _ = load.load_flows(spark, json_paths=[folder])
     assert [r["label"] for r in flows.orderBy("block", "seq").collect()] == [
         "7", "True", "1000.0", "DoS"]
+
+
+def test_uploads_are_classified_once_ready(spark, tmp_path):
+    folder = put(tmp_path, a__csv=DETECTION + "\n" + "12000,1500000,4,1200\n" * 6,
+                 bad__csv="a,a\n1,2\n", c__csv=DETECTION + "\n1,1,1,1\n")
+    uploads = spark.createDataFrame(
+        [(1, f"{folder}/a.csv", "completed"), (2, f"{folder}/bad.csv", "completed"),
+         (3, f"{folder}/gone.csv", "completed"), (4, f"{folder}/c.csv", "processing")],
+        "id bigint, file_path string, upload_status string")
+    found, others = load.detect_uploads(spark, uploads, csv_paths=[folder])
+    got = found.collect()
+    assert [(r["upload_id"], r["attack_type"], r["severity"], r["records_analysed"]) for r in got] == [
+        (1, "DoS", "Critical", 6)]
+    assert {r["upload_id"]: r["problem"] for r in others.collect()} == {
+        2: "duplicate_column_name", 3: "file_unavailable", 4: "not_ready_processing"}
+
+
+def test_preview(spark, tmp_path):
+    folder = put(tmp_path, a__csv="x,y\n" + "\n".join(f"{i},{i}.5" for i in range(9)) + "\n")
+    columns, rows = profile.preview(records.to_long(csvlog.read(spark, folder).records))
+    assert {r["col_name"]: (r["value_type"], r["null_count"], r["n_rows"]) for r in columns.collect()} == {
+        "x": ("integer", 0, 9), "y": ("float", 0, 9)}
+    assert sorted(r["raw"] for r in rows.where("col_name = 'x'").collect()) == ["0", "1", "2", "3", "4"]
+
+
+def test_ever_new_json_keys_do_not_change_the_mapping(spark, tmp_path):
+    rows = [json.dumps({f"noise{i}": i, f"total bytes {i % 3}": i}) for i in range(40)]
+    rows.append(json.dumps({"Flow Bytes total": 1, "Attack Type": "DoS", "Duration": 3}))
+    folder = put(tmp_path, a__json="\n".join(rows))
+    parsed = jsonlog.read(spark, folder)
+    assert len(parsed.layouts.first()["names"]) <= 12
+    flows = records.to_flows(parsed)
+    assert flows.where("label = 'DoS' AND flow_duration = 3 AND total_bytes = 1").count() == 1
