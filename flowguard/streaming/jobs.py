@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flowguard import vocab
 from flowguard.operators import detect, limiter, report
 from flowguard.session import ensure_checkpoint_dir
-from flowguard.sources import load
+from flowguard.sources import load, records
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -62,6 +62,7 @@ def ingest(spark: SparkSession, landing: str, out: str, files_per_trigger: int =
             flows, errors = load.load_flows(frame.sparkSession, csv, json)
             flows.write.mode("overwrite").parquet(f"{out}/flows/batch={batch_id}")
             errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
+            records.release()
     return start(files, write, out, "append", once)
 
 
