@@ -182,7 +182,9 @@ def build_index(docs: DataFrame, capacity: int = 1024, max_depth: int = 20,
     if index is not None:
         bucket = F.udf(where.bucket, "long")
         rows = rows.union(index.select(bucket("h"), "h", "body", "keep_id", "n_rows"))
-    owned = (rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "h")
+    n = partitions(spark)
+    owner = F.shiftright(F.col("bucket") * n, where.depth).cast("int")  # a range of the directory
+    owned = (rows.repartitionById(n, owner).sortWithinPartitions("bucket", "h")
              .mapInArrow(_own, ENTRY_SQL))
     return save(owned, "exact-index")
 
