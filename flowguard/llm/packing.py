@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowguard.llm.common import partitions, rows_batch, save, sized, text_column
-from flowguard.llm.tokens import WordTable, crc, with_end
+from flowguard.llm.tokens import crc, with_end, word_table
 
 CAPACITY = 4096
 END = 2
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = WordTable(path, keep_space=False), TaskContext.get().partitionId()
+        table, part = word_table(path, keep_space=False), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts, docs = text_column(batch, "text"), batch.column("doc_id").to_pylist()

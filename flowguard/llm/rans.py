@@ -18,7 +18,6 @@ columns are not looked at.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowguard.llm.common import partitions, rows_batch, shared_folder, sized, text_column
-from flowguard.llm.tokens import WordTable, crc, with_end
+from flowguard.llm.common import partitions, rows_batch, save, shared_folder, sized, text_column
+from flowguard.llm.tokens import crc, with_end, word_table
 
 SCALE_BITS = 20
 SCALE = 1 << SCALE_BITS
@@ -40,16 +39,18 @@ CHECK_STEPS = 64
 BLOCK_CHARS = 1 << 20
 END = 0
 COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+RAW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("width", pa.int32()),
+                 ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
+RAW_SQL = "part int, block int, before long, width int, doc_ids array<long>, doc_lengths array<long>, ids binary"
 BLOCKS = pa.schema([
-    ("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    ("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
     ("doc_lengths", pa.list_(pa.int64())), ("payload", pa.binary()), ("payload_crc32", pa.int64()),
     ("ids_crc32", pa.int64()), ("checkpoints", pa.binary()), ("check_words", pa.list_(pa.int64()))])
-BLOCKS_SQL = ("part int, block int, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
+BLOCKS_SQL = ("part int, block int, before long, n_ids long, doc_ids array<long>, doc_lengths array<long>, "
               "payload binary, payload_crc32 long, ids_crc32 long, checkpoints binary, "
               "check_words array<long>")
-DECODED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("k", pa.int32()),
-                     ("doc_id", pa.int64()), ("before", pa.int64()), ("ids", pa.binary())])
-DECODED_SQL = "part int, block int, k int, doc_id long, before long, ids binary"
+DECODED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+DECODED_SQL = "doc_id long, start long, ids binary"
 
 
 def frequencies(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -123,56 +124,57 @@ class Coder:
         return out
 
 
-def _count_words(path: str, find_space: bool = True):
-    """Counts of token ids of a task, from the counts of its words."""
+def _tokenise(path: str):
+    """Texts in order to blocks of whole documents with their ids, two bytes each where that will do."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, totals, rows = WordTable(path, find_space), np.zeros(1 << 17, np.int64), 0
-
-        def add(counter):
-            ids, counts = table.encode(list(counter))
-            weights = np.repeat(np.fromiter(counter.values(), np.int64, len(counter)), counts)
-            found, inverse = np.unique(ids, return_inverse=True)
-            np.add.at(totals, found, np.bincount(inverse, weights, len(found)).astype(np.int64))
-
-        counter: Counter = Counter()
+        table, part, block = word_table(path, keep_space=True), TaskContext.get().partitionId(), 0
+        width, before = 2 if table.encoder.get_vocab_size() <= 1 << 16 else 4, 0
         for batch in batches:
-            rows += batch.num_rows
-            for text in text_column(batch, "text"):
-                counter.update(table.find(text))
-                if len(counter) > 300_000:
-                    add(counter)
-                    counter = Counter()
-        add(counter)
-        totals[END] += rows
-        found = np.flatnonzero(totals)
-        yield rows_batch({"token": found, "n": totals[found]}, COUNTS)
+            texts, docs = text_column(batch, "text"), batch.column("doc_id").to_pylist()
+            for at in sized(texts, len, BLOCK_CHARS):
+                ids, counts = with_end(*table.encode([texts[i] for i in at]), END)
+                yield rows_batch({
+                    "part": [part], "block": [block], "before": [before], "width": [width],
+                    "doc_ids": [[docs[i] for i in at]], "doc_lengths": [counts],
+                    "ids": [ids.astype(f"<u{width}").tobytes()]}, RAW)
+                block, before = block + 1, before + len(ids)
     return work
 
 
-def train(docs: DataFrame, path: str) -> Coder:
-    """The shared table, from the token counts of all documents."""
-    counted = (docs.select("text").mapInArrow(_count_words(path), "token long, n long")
-               .groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids")):
+            found = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"), minlength=len(totals))
+            if len(found) > len(totals):
+                totals = np.pad(totals, (0, len(found) - len(totals)))
+            totals += found
+    found = np.flatnonzero(totals)
+    yield rows_batch({"token": found, "n": totals[found]}, COUNTS)
+
+
+def train(raw: DataFrame) -> Coder:
+    """The shared table, from the ids of all documents."""
+    counted = (raw.select("width", "ids").mapInArrow(_count, "token long, n long")
+               .groupBy("token").agg(F.sum("n").alias("n")))
     found = sorted(counted.collect())  # one row per id of the vocabulary
     tokens = np.array([t for t, _ in found], np.int64)
     return Coder(tokens, frequencies(tokens, np.array([n for _, n in found], np.int64))
                  if found else tokens)
 
 
-def _encode(path: str, coder):
+def _encode(coder):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, block = WordTable(path, keep_space=True), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, docs = text_column(batch, "text"), batch.column("doc_id").to_pylist()
-            for at in sized(texts, len, BLOCK_CHARS):
-                ids, counts = with_end(*table.encode([texts[i] for i in at]), END)
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                ids = np.frombuffer(row["ids"].as_buffer(), f"<u{row['width'].as_py()}").astype(np.uint32)
                 stream, states, places = coder.value.encode(ids)
                 yield rows_batch({
-                    "part": [part], "block": [block], "n_ids": [len(ids)], "doc_ids": [[docs[i] for i in at]],
-                    "doc_lengths": [counts], "payload": [stream], "payload_crc32": [zlib.crc32(stream)],
-                    "ids_crc32": [crc(ids)], "checkpoints": [states.tobytes()], "check_words": [places],
-                }, BLOCKS)
-                block += 1
+                    "part": [row["part"].as_py()], "block": [row["block"].as_py()],
+                    "before": [row["before"].as_py()], "n_ids": [len(ids)], "doc_ids": [row["doc_ids"].as_py()], "doc_lengths": [row["doc_lengths"].as_py()],
+                    "payload": [stream], "payload_crc32": [zlib.crc32(stream)], "ids_crc32": [crc(ids)],
+                    "checkpoints": [states.tobytes()], "check_words": [places]}, BLOCKS)
     return work
 
 
@@ -180,19 +182,21 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Encode all texts in ascending order of doc_id into ``folder``."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     spark = docs.sparkSession
-    coder = train(docs, path)
-    spark.createDataFrame([(int(t), int(f)) for t, f in zip(coder.tokens, coder.freq)],
-                          "token long, freq long").coalesce(1).write.parquet(f"{folder}/table")
     rows = (docs.select(F.col("doc_id").cast("long"), "text")
             .repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id"))
-    (rows.mapInArrow(_encode(path, spark.sparkContext.broadcast(coder)), BLOCKS_SQL)
+    raw = save(rows.mapInArrow(_tokenise(path), RAW_SQL), "raw-ids")
+    coder = train(raw)
+    spark.createDataFrame([(int(t), int(f)) for t, f in zip(coder.tokens, coder.freq)],
+                          "token long, freq long").coalesce(1).write.parquet(f"{folder}/table")
+    (raw.mapInArrow(_encode(spark.sparkContext.broadcast(coder)), BLOCKS_SQL)
      .write.option("compression", "none").parquet(f"{folder}/blocks"))
 
 
-def _decode(coder):
+def _decode(coder, part_starts):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 if zlib.crc32(row["payload"]) != row["payload_crc32"]:
                     raise ValueError(f"stream of part {row['part']}, block {row['block']} is damaged")
                 first = np.frombuffer(row["checkpoints"], "<u8", LANES)
@@ -202,8 +206,7 @@ def _decode(coder):
                 ends = np.cumsum(row["doc_lengths"])
                 starts = ends - row["doc_lengths"]
                 yield rows_batch({
-                    "part": [row["part"]] * len(ends), "block": [row["block"]] * len(ends),
-                    "k": np.arange(len(ends)), "doc_id": row["doc_ids"], "before": starts,
+                    "doc_id": row["doc_ids"], "start": part_starts.value[row["part"]] + row["before"] + starts,
                     "ids": [ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends)]}, DECODED)
     return work
 
@@ -217,16 +220,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), ids (little-endian, 32 bits)."""
     blocks = spark.read.parquet(f"{folder}/blocks")
     coder = spark.sparkContext.broadcast(load_coder(spark, folder))
-    in_order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per task of the writer
-             .select("part", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("part_start")))
-    within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (blocks.select("part", "block", "n_ids").join(parts, "part")
-              .select("part", "block", (F.col("part_start") + F.coalesce(
-                  F.sum("n_ids").over(within), F.lit(0))).alias("block_start")))
-    docs = blocks.mapInArrow(_decode(coder), DECODED_SQL)
-    return docs.join(starts, ["part", "block"]).select(
-        "doc_id", (F.col("block_start") + F.col("before")).alias("start"), "ids")
+    sizes = sorted(blocks.groupBy("part").agg(F.sum("n_ids")).collect())  # a row per partition written
+    starts, total = {}, 0
+    for part, n in sizes:
+        starts[part], total = total, total + n
+    return blocks.mapInArrow(_decode(coder, spark.sparkContext.broadcast(starts)), DECODED_SQL)
 
 
 def encode_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,69 +1,142 @@
-"""Token ids of whole texts with a public tokenizer, encoding each distinct word once per task.
+"""Token ids of whole texts with a public tokenizer, encoding each distinct word once per worker process.
 
 Both vocabularies used here split a text before every run of white space that follows other
-characters, so a text's ids are the ids of its words in order. A task keeps the ids of the words
-it has met, in a table of bounded size, and asks the tokenizers library for new ones only.
+characters, so a text's ids are the ids of its words in order. A process keeps the ids of the
+words it has met, in a table of bounded size, and asks the tokenizers library for new ones only.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 
 # White space as the tokenizers see it; Python also counts 1C to 1F, which stay inside words here.
 WORDS_WITH_SPACE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 WORDS_ALONE = re.compile(r"[\S\x1c-\x1f]+")
+# Anything but single blanks and single line ends between words, and what marks a first word.
+UNUSUAL = re.compile(r"[^\S \n]|\x00|[ \n][ \n]|^[ \n]|[ \n]$")
+FIRST = "\x00"
+LONG = 256
+
+
+def split_with_space(text: str) -> list[str]:
+    """Words with the white space before them. A blank before a word is left out, and the first
+    word of a text has ``FIRST`` before it; ``spelled`` gives the words as they stand."""
+    if not text:
+        return []
+    if UNUSUAL.search(text):
+        words = WORDS_WITH_SPACE.findall(text)
+        if not words[0][0].isspace() or words[0][0] in "\x1c\x1d\x1e\x1f":
+            words[0] = FIRST + words[0]
+        return words
+    words = text.replace("\n", " \n").split(" ")
+    words[0] = FIRST + words[0]
+    return words
+
+
+def spelled(word: str) -> str:
+    if word[0] == FIRST:
+        return word[1:]
+    return word if WORDS_WITH_SPACE.match(word).start() == 0 and not WORDS_ALONE.match(word) else " " + word
+
+
+def split_alone(text: str) -> list[str]:
+    """Words without the white space around them."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return WORDS_ALONE.findall(text)
+    return text.split()
+
+
+class Places(dict):
+    """Numbers words as they are met; ``new`` lists those not numbered before."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
 
 
 class WordTable:
-    """``keep_space``: white space before a word is part of it, as in byte-level vocabularies."""
+    """``keep_space``: white space before a word is part of it, as in byte-level vocabularies.
+
+    The first ``most`` words met are kept, which are those that come often; others are encoded
+    each time a call has them.
+    """
 
-    def __init__(self, path: str, keep_space: bool, most_chars: int = 16 << 20):
+    def __init__(self, path: str, keep_space: bool, most: int = 700_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         self.encoder = Tokenizer.from_file(path)
-        self.find = (WORDS_WITH_SPACE if keep_space else WORDS_ALONE).findall
-        self.most_chars = most_chars
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.chars = 0
+        self.keep_space = keep_space
+        self.find = split_with_space if keep_space else split_alone
+        self.most = most
+        self.place = Places()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
 
-    def _learn(self, words: set[str]) -> None:
-        new = sorted(words)
-        found = [e.ids for e in self.encoder.encode_batch(new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        self.place.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
+    def _learn(self) -> None:
+        new = list(map(spelled, self.place.new)) if self.keep_space else self.place.new
+        flats, counts = [], []
+        for k in range(0, len(new), 1000):  # words go in together, each is still encoded alone
+            part = new[k:k + 1000]
+            found = self.encoder.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flats.append(np.array(found.ids, np.uint32))
+            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+        flat, counts = np.concatenate(flats), np.concatenate(counts)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.ids = np.concatenate([self.ids, flat])
-        self.starts = np.concatenate([self.starts, starts])
         self.counts = np.concatenate([self.counts, counts])
-        self.chars += sum(map(len, new))
+
+    def _forget(self) -> None:
+        """Drop the last words met: those beyond the bound, and from a very long one on."""
+        new = self.place.new
+        first = next((k for k, w in enumerate(new) if len(w) > LONG), len(new))
+        first = min(first, max(0, self.most - len(self.place) + len(new)))
+        if first < len(new):
+            for w in new[first:]:
+                del self.place[w]
+            n = len(self.place)
+            self.starts, self.counts = self.starts[:n], self.counts[:n]
+            self.ids = self.ids[:int(self.starts[-1] + self.counts[-1]) if n else 0]
+        self.place.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        if self.chars > self.most_chars:
-            self.clear()
         words = [self.find(t) for t in texts]
-        unknown = set().union(*words).difference(self.place) if words else set()
-        if unknown:
-            self._learn(unknown)
-        place = self.place
-        at = np.fromiter((place[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        sizes = list(map(len, words))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        if self.place.new:
+            self._learn()
         counts = self.counts[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)
-        bounds = np.cumsum([0, *map(len, words)])
-        sums = np.concatenate([[0], ends])[bounds]
-        return self.ids[source], np.diff(sums)
+        source = np.repeat(self.starts[at] - (ends - counts), counts)
+        source += np.arange(total)
+        ids = self.ids[source]
+        if self.place.new:
+            self._forget()
+        return ids, np.diff(np.concatenate([[0], ends])[np.cumsum([0, *sizes])])
+
+
+_TABLES: dict[tuple, WordTable] = {}
+
+
+def word_table(path: str, keep_space: bool) -> WordTable:
+    """The table of this process; Spark reuses a worker for many tasks."""
+    if (path, keep_space) not in _TABLES:
+        _TABLES.clear()  # one vocabulary at a time bounds the memory
+        _TABLES[path, keep_space] = WordTable(path, keep_space)
+    return _TABLES[path, keep_space]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
