@@ -31,6 +31,7 @@ from flowguard.llm.tokens import crc, with_end, word_table
 
 CAPACITY = 4096
 END = 2
+KNOWN_WORDS = 1_500_000  # kept by a worker process: some 250 MB
 PIECES = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
                     ("length", pa.int32()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()),
                     ("ids", pa.binary())])
@@ -110,11 +111,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = word_table(path, keep_space=False), TaskContext.get().partitionId()
+        table, part = word_table(path, False, KNOWN_WORDS), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts, docs = text_column(batch, "text"), batch.column("doc_id").to_pylist()
-            for at in sized(texts, len, 1 << 20):
+            for at in sized(texts, len, 2 << 20):
                 ids, counts = with_end(*table.encode([texts[i] for i in at]), END)
                 rows, first = [], 0
                 for i, n in zip(at, counts.tolist()):

@@ -131,11 +131,11 @@ class WordTable:
 _TABLES: dict[tuple, WordTable] = {}
 
 
-def word_table(path: str, keep_space: bool) -> WordTable:
+def word_table(path: str, keep_space: bool, most: int = 700_000) -> WordTable:
     """The table of this process; Spark reuses a worker for many tasks."""
     if (path, keep_space) not in _TABLES:
         _TABLES.clear()  # one vocabulary at a time bounds the memory
-        _TABLES[path, keep_space] = WordTable(path, keep_space)
+        _TABLES[path, keep_space] = WordTable(path, keep_space, most)
     return _TABLES[path, keep_space]
 
 
