@@ -26,7 +26,7 @@ docs AS (SELECT p.id AS prediction_id, p.upload_id, u.filename AS source_filenam
   'Upload ' || p.upload_id || ' shows ' || p.attack_type || ' at ' || CAST(round_even(p.confidence * 100, 0) AS BIGINT)
     || '% confidence, severity ' || p.severity || '.' AS summary,
   p.severity IN ('High', 'Critical') AS requires_immediate_action,
-  CASE WHEN p.severity IN ('High', 'Critical') THEN list_prepend('Escalate immediately: recorded severity is ' || p.severity || '.', lines)
+  CASE WHEN p.severity IN ('High', 'Critical') THEN list_prepend('Page the duty officer (severity ' || p.severity || ').', lines)
        ELSE lines END AS recs
   FROM predictions p LEFT JOIN uploads u ON p.upload_id = u.id JOIN guide ON klass = p.attack_type WHERE {SOUND_SQL.replace('attack_type IN', 'p.attack_type IN')})
 """
@@ -69,7 +69,7 @@ def report_export(spark, sf):
 @query("recommendations", views="predictions", oracle=f"""
 , {GUIDE_SQL}
 SELECT attack_type, severity, COUNT(*) AS n_findings, ANY_VALUE(CASE WHEN attack_type NOT IN ({_CLASSES}) THEN NULL
-  WHEN severity IN ('High', 'Critical') THEN 'Escalate immediately: recorded severity is ' || severity || '. | ' || array_to_string(lines, ' | ')
+  WHEN severity IN ('High', 'Critical') THEN 'Page the duty officer (severity ' || severity || '). | ' || array_to_string(lines, ' | ')
   ELSE array_to_string(lines, ' | ') END) AS guidance
 FROM predictions LEFT JOIN guide ON klass = attack_type GROUP BY attack_type, severity""")
 def recommendations(spark, sf):

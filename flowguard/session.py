@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,13 @@ def build_session(app: str = "flowguard", master: str | None = None,
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for jobs submitted without it installed there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="flowguard-"), "flowguard")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "flowguard"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, as named by the cluster.
 

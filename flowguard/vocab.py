@@ -140,36 +140,33 @@ PREVIEW_ROWS = 5
 LIMITER_LIMIT, LIMITER_WINDOW_SECONDS = 120, 60
 DELIMITERS = [",", ";", "\t", "|"]
 
-# Guidance per class, most urgent first.
+# What to do per class, as steps of incident handling: contain, then collect, then prevent.
 GUIDANCE = {
-    BENIGN: ["Nothing to do; keep this report as proof that the traffic was checked."],
-    DOS: ["Check that rate limits are active on the service under load.",
-          "Find the heaviest senders and filter them before they reach the service.",
-          "Verify spare capacity: a flood that is still running is an outage in progress."],
-    DDOS: ["Ask the network provider to filter the traffic upstream.",
-           "Measure whether that filtering works before closing the case.",
-           "Tighten edge limits and hide directly reachable origins meanwhile."],
-    PORT_SCAN: ["Shut or firewall the ports that answered.",
-                "Look for the same sender probing other machines.",
-                "Raise an alert on probe volume; an exploit often follows."],
-    BOT: ["Take the infected machines off the network.",
-          "Replace every secret those machines could read.",
-          "Block outgoing connections to the controlling hosts."],
-    BRUTE_FORCE: ["Turn on lockout or growing delays for the attacked login.",
-                  "Demand a second factor for the accounts involved.",
-                  "Search for a successful login by the same sender."],
-    WEB_ATTACK: ["Read the web server logs of the attacked path.",
-                 "Review input checks and output escaping, and add a filter rule.",
-                 "Look for odd database statements that show the attack got through."],
-    INFILTRATION: ["Isolate the machines and save their memory before rebuilding.",
-                   "Search neighbouring machines for footholds.",
-                   "Audit privileged accounts in that network segment."],
-    UNKNOWN: ["Read the log by hand; its columns did not allow a verdict.",
-              "Make sure the needed columns are exported, then run detection again.",
-              "Do not count the traffic as harmless until someone has looked."],
+    BENIGN: ["Close: no action."],
+    DOS: ["Contain: drop or throttle the top talkers at the nearest router.",
+          "Collect: packet samples and connection tables of the target."],
+    DDOS: ["Contain: hand the prefix to the upstream scrubbing service.",
+           "Collect: flow exports per ingress link.",
+           "Prevent: put anycast or a delivery network in front of the service.",
+           "Prevent: rehearse the hand-over."],
+    PORT_SCAN: ["Collect: list of services that answered, with their versions.",
+                "Prevent: default-deny rules between segments."],
+    BOT: ["Contain: quarantine VLAN for the hosts; sinkhole the names they resolve.",
+          "Collect: process lists and autostart entries.",
+          "Recover: reinstall from a known image and reissue certificates and keys."],
+    BRUTE_FORCE: ["Contain: lock the accounts under attack until their owners are reached.",
+                  "Collect: authentication events around the burst, failures and successes."],
+    WEB_ATTACK: ["Contain: virtual patch for the route in front of the application.",
+                 "Collect: request bodies and the application's error log.",
+                 "Recover: compare the data store with a backup taken before.",
+                 "Prevent: bound parameters in every statement."],
+    INFILTRATION: ["Contain: cut the segment from the internet, keep the hosts powered.",
+                   "Collect: disk and memory images, directory service changes.",
+                   "Recover: new credentials for everybody who logged on there."],
+    UNKNOWN: ["Triage: an analyst assigns a class or marks the source as unusable."],
 }
-DEFAULT_GUIDANCE = ["No guidance exists for this class; review the finding by hand."]
-ESCALATION_TEXT = "Escalate immediately: recorded severity is %s."
+DEFAULT_GUIDANCE = ["Triage: the class has no entry in the response plan."]
+ESCALATION_TEXT = "Page the duty officer (severity %s)."
 
 # Technique ids per class from the public ATT&CK matrix.
 TECHNIQUES = {

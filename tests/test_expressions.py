@@ -115,7 +115,7 @@ def test_percent_is_half_even(spark):
 
 def test_guidance_covers_every_class(spark):
     got = evaluate(spark, [*vocab.ATTACK_TYPES, "odd"], lambda c: scoring.guidance(c, F.lit("High")))
-    assert all(g[0] == "Escalate immediately: recorded severity is High." for g in got[:-1])
+    assert all(g[0] == "Page the duty officer (severity High)." for g in got[:-1])
     assert got[-1] is None
 
 
