@@ -189,9 +189,14 @@ def identify(docs: DataFrame, **options) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
-    """Rows whose language is told with ``least_score`` or more; all columns as they are."""
+def keep_identified(docs: DataFrame, least_lift: float = 1.02, **options) -> DataFrame:
+    """Rows whose language is told better than by chance; all columns as they are.
+
+    Chance is an even share for each language; a score must be ``least_lift`` times that. Short or
+    mixed texts stay. With one language to learn there is no chance level.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))), **options)
+    least_score = least_lift / len(model.langs) if len(model.langs) > 1 else 0.0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -513,7 +513,7 @@ def test_index_grows_with_new_documents(odd):
 
 def test_pipeline_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    told = {r.doc_id for r in langid.identify(docs).where("lang_pred <> 'und' AND score >= 0.5").collect()}
+    told = {r.doc_id for r in langid.identify(docs).where("lang_pred <> 'und' AND score >= 1.02 / 4").collect()}
     text = {r.doc_id: r.text for r in docs.collect() if r.doc_id in told}
     first = {}
     for d in sorted(text):
