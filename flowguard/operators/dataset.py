@@ -104,11 +104,12 @@ class Completeness:
             list(dict.fromkeys(x for p in parts for x in p.reasons)))
 
 
-def source_completeness(rows: DataFrame, cap: int = vocab.LOG_ROW_CAP) -> DataFrame:
-    """Per source, whether a reader with this cap would have cut it short."""
-    counts = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("rows_in_source"))
-    return (counts.withColumn("truncated", F.col("rows_in_source") > cap)
-            .withColumn("rows_kept", F.least("rows_in_source", F.lit(cap).cast("bigint"))))
+def source_completeness(converted: DataFrame) -> DataFrame:
+    """Per source of converted captures: rows read, rows usable, and whether any was left out."""
+    counts = converted.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("rows_in_source"),
+        F.count_if(F.col("code").isNull()).alias("rows_kept"))
+    return counts.withColumn("truncated", F.col("rows_kept") < F.col("rows_in_source"))
 
 
 def merged_completeness(per_source: DataFrame) -> DataFrame:
@@ -187,9 +188,9 @@ def build_examples(flows: DataFrame, require_labels: bool = True) -> tuple[DataF
     return good, problems
 
 
-def describe(examples: DataFrame) -> str:
-    """One line: rows, features and rows per class."""
-    counts = class_counts(examples).orderBy("label_code").collect()
-    total = sum(r["n_rows"] for r in counts)
-    return (f"{total} row(s), {len(vocab.FEATURES)} feature(s) [{', '.join(vocab.FEATURES)}]; "
-            "classes: " + ", ".join(f"{r['label']}={r['n_rows']}" for r in counts))
+def describe(examples: DataFrame) -> DataFrame:
+    """One row: rows, features in order, and a map from class to its rows."""
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n_rows"))))
+    return class_counts(examples).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0).cast("bigint")).alias("n_rows"),
+        F.array(*[F.lit(f) for f in vocab.FEATURES]).alias("features"), counts.alias("rows_by_class"))

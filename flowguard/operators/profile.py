@@ -19,7 +19,7 @@ def row_counts(cells: DataFrame) -> DataFrame:
 
 def column_profile(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Type and null count of every column; rows without the column count as null."""
-    kinds = cells.withColumn("kind", cell.cell_kind(F.col("raw")))
+    kinds = cells.where(F.col("col_name").isNotNull()).withColumn("kind", cell.cell_kind(F.col("raw")))
 
     def seen(kind):
         return F.max(F.col("kind") == kind).alias(f"has_{kind}")
@@ -37,7 +37,7 @@ def column_profile(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame
 
 def column_union(cells: DataFrame) -> DataFrame:
     """Every column of a source with the place it was first seen at."""
-    return (cells.groupBy("source_id", "col_name")
+    return (cells.where(F.col("col_name").isNotNull()).groupBy("source_id", "col_name")
             .agg(F.min(F.struct("row_key", "col_pos")).alias("first"))
             .select("source_id", "col_name", F.col("first.row_key").alias("first_row"),
                     F.col("first.col_pos").alias("first_pos")))

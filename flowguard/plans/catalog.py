@@ -6,6 +6,7 @@ from flowguard.plans import (  # noqa: F401
     detection,
     models,
     profiles,
+    readers,
     relational,
     streams,
     traffic,

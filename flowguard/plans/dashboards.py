@@ -130,16 +130,17 @@ def model_metrics(spark, sf):
     return out.select("n_rows", *[F.round(c, 9).alias(c) for c in out.columns if c != "n_rows"])
 
 
-@query("roc_auc", views="scored", oracle="""
-, c AS (SELECT predicted_code AS class_code, score, COUNT(*) FILTER (label_code = predicted_code) AS pos,
-        COUNT(*) FILTER (label_code <> predicted_code) AS neg FROM scored GROUP BY 1, 2),
+@query("roc_auc", views="class_scores", oracle=", s AS (" + " UNION ALL ".join(
+    f"SELECT {c} AS class_code, p{c} AS score, label_code = {c} AS hit FROM class_scores" for c in range(4)) + """),
+c AS (SELECT class_code, score, COUNT(*) FILTER (hit) AS pos, COUNT(*) FILTER (NOT hit) AS neg FROM s GROUP BY 1, 2),
 r AS (SELECT *, SUM(neg) OVER (PARTITION BY class_code ORDER BY score) AS below FROM c),
 w AS (SELECT class_code, CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg, SUM(pos * (below - neg / 2)) AS wins FROM r GROUP BY 1)
 SELECT class_code, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0 THEN ROUND(wins / n_pos / n_neg, 9) END AS auc FROM w""")
 def roc_auc(spark, sf):
-    rows = view(spark, sf, "scored").select(
-        F.col("predicted_code").alias("class_code"), "score",
-        (F.col("label_code") == F.col("predicted_code")).alias("positive"))
+    """One class against the rest: every row counts for every class, with that class's score."""
+    rows = view(spark, sf, "class_scores").select("label_code", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("class_code"), F.col(f"p{c}").alias("score")) for c in range(4)])))
+    rows = rows.withColumn("positive", F.col("label_code") == F.col("class_code"))
     return analytics.roc_auc(rows).withColumn("auc", F.round("auc", 9))
 
 

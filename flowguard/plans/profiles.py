@@ -92,4 +92,6 @@ def header_mapping(spark, sf):
 SELECT source_id, row_idx, CASE WHEN list_contains(names, '') THEN 'blank_column_name'
   WHEN len(list_distinct(names)) < len(names) THEN 'duplicate_column_name' END AS problem FROM h""")
 def header_problems(spark, sf):
-    return headers.problems_by_row(view(spark, sf, "log_cells"), ["source_id", "row_idx"])
+    rows = view(spark, sf, "log_cells").groupBy("source_id", "row_idx").agg(
+        F.collect_list("col_name").alias("names"))
+    return rows.select("source_id", "row_idx", headers.header_problem(F.col("names")).alias("problem"))

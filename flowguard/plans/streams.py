@@ -29,14 +29,14 @@ def windowed_detection(spark, sf):
                                                 late=None))
 
 
-@query("stream_detection", views="flows", oracle=WINDOWED_SQL)
+@query("stream_detection", views="flows", oracle=WINDOWED_SQL + """
+WHERE source_id.w + INTERVAL 90 DAYS <= (SELECT MAX(seen_at) - INTERVAL 1 HOUR FROM flows)""")
 def stream_detection(spark, sf):
-    """The same verdicts out of a stream over the table."""
+    """The verdicts of all windows that the watermark has closed, out of a stream."""
     name = "flowguard_lineitem_stream"
     jobs.read_table(spark, f"{sf}/lineitem*.parquet").createOrReplaceTempView(name)
     flows = spark.sql(view_sql("flows", lambda t: name))
-    return jobs.drain(spark, _joined_rules(jobs.windowed_verdicts(flows, width="90 days")),
-                      "complete")
+    return jobs.drain(spark, _joined_rules(jobs.windowed_verdicts(flows, width="90 days")))
 
 
 def _request_stream(spark, sf):
@@ -59,10 +59,13 @@ def stream_limiter(spark, sf):
 ORACLES["stream_limiter"] = ORACLES["limiter_decisions"]
 
 
-@query("stream_active_clients")
+@query("stream_active_clients", views="requests", oracle=traffic.KEYED_SQL + """
+SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, COUNT(*) AS n_requests,
+  COUNT(DISTINCT client) AS n_clients FROM keyed GROUP BY 1
+HAVING window_start + INTERVAL 6 HOURS <= (SELECT MAX(ts) - INTERVAL 5 MINUTES FROM keyed)""")
 def stream_active_clients(spark, sf):
     counted = jobs.active_clients(_request_stream(spark, sf), width="6 hours")
-    return jobs.drain(spark, counted, "complete")
+    return jobs.drain(spark, counted)
 
 
 @query("stream_audit", views="audit_logs", oracle="""

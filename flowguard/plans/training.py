@@ -103,11 +103,14 @@ def class_counts(spark, sf):
 
 
 @query("missing_classes", views="capture_cells", oracle=CONVERTED_SQL + f"""
-, sources AS (SELECT DISTINCT source_id FROM used)
-SELECT source_id, name AS missing_class FROM sources, {CLASS_TABLE}
-WHERE code < 8 AND NOT EXISTS (SELECT 1 FROM used u WHERE u.source_id = sources.source_id AND u.label = name)""")
+, orders AS (SELECT DISTINCT split_part(row_key, '-', 1) AS order_id, label FROM used),
+ids AS (SELECT DISTINCT order_id FROM orders)
+SELECT order_id, name AS missing_class FROM ids, {CLASS_TABLE}
+WHERE code < 8 AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.order_id = ids.order_id AND o.label = name)""")
 def missing_classes(spark, sf):
-    return dataset.missing_classes(example_rows(spark, sf), "source_id")
+    """By order, as the rows of an order never cover all classes."""
+    return dataset.missing_classes(example_rows(spark, sf).withColumn(
+        "order_id", F.split_part("row_key", F.lit("-"), F.lit(1))), "order_id")
 
 
 @query("classes_present", views="capture_cells", oracle=CONVERTED_SQL + """
@@ -144,20 +147,21 @@ def dataset_violations(spark, sf):
     return dataset.violations(example_rows(spark, sf))
 
 
-@query("source_completeness", views="capture_cells", oracle=f"""
-SELECT source_id, COUNT(*) AS rows_in_source, COUNT(*) > {vocab.LOG_ROW_CAP} AS truncated,
-  LEAST(COUNT(*), {vocab.LOG_ROW_CAP}) AS rows_kept FROM capture_cells GROUP BY source_id""")
+COMPLETE_SQL = CONVERTED_SQL + """
+, complete AS (SELECT source_id, COUNT(*) AS rows_in_source, COUNT(*) FILTER (code IS NULL) AS rows_kept,
+  COUNT(code) > 0 AS truncated FROM coded GROUP BY source_id)"""
+
+
+@query("source_completeness", views="capture_cells", oracle=COMPLETE_SQL + "SELECT * FROM complete")
 def source_completeness(spark, sf):
-    return dataset.source_completeness(view(spark, sf, "capture_cells"))
+    return dataset.source_completeness(converted(spark, sf))
 
 
-@query("merged_completeness", views="capture_cells", oracle=f"""
-, s AS (SELECT source_id, COUNT(*) > {vocab.LOG_ROW_CAP} AS truncated FROM capture_cells GROUP BY source_id)
+@query("merged_completeness", views="capture_cells", oracle=COMPLETE_SQL + """
 SELECT bool_and(NOT truncated) AS complete, COUNT(*) FILTER (truncated) AS n_truncated,
-  MIN(source_id) FILTER (truncated) AS first_truncated FROM s""")
+  MIN(source_id) FILTER (truncated) AS first_truncated FROM complete""")
 def merged_completeness(spark, sf):
-    return dataset.merged_completeness(
-        dataset.source_completeness(view(spark, sf, "capture_cells")))
+    return dataset.merged_completeness(dataset.source_completeness(converted(spark, sf)))
 
 
 GENERIC_SQL = f"""

@@ -133,11 +133,11 @@ SELECT event_id AS id, user_id, ts AS timestamp,
        WHEN 'purchase' THEN 'report.generated' ELSE 'legacy.action' END AS action_performed,
   CONCAT('10.0.', CAST(user_id % 7 AS STRING), '.', CAST(user_id % 50 AS STRING)) AS ip_address
 FROM {events}""",
-    # A report exists for some findings; the rest were never written up.
+    # Some reports name a finding that is not there, which leaves findings without report.
     "reports": f"""
-SELECT {ROW_KEY} AS prediction_id, CONCAT('reports/', {ROW_KEY}, '.json') AS report_path,
+SELECT CASE WHEN l_returnflag = 'R' THEN {ROW_KEY} ELSE CONCAT('draft-', {ROW_KEY}) END AS prediction_id, CONCAT('reports/', {ROW_KEY}, '.json') AS report_path,
   l_shipdate AS generated_at
-FROM {{lineitem}} WHERE l_returnflag = 'R'""",
+FROM {{lineitem}}""",
     # Class probabilities per row in 1/1024 steps, so sums are exact.
     "row_scores": f"""
 SELECT l_partkey AS source_id, {ROW_KEY} AS row_key,
@@ -147,6 +147,13 @@ SELECT l_partkey AS source_id, {ROW_KEY} AS row_key,
   CAST(1024 - l_partkey * 7 % 301 - l_orderkey * 5 % 301
        - (l_suppkey * 37 + l_linenumber) % 301 AS DOUBLE) / 1024 AS p3
 FROM {{lineitem}}""",
+    # Actual class per row with a score for each of four classes.
+    "class_scores": """
+SELECT l_suppkey % 4 AS label_code, CAST(l_partkey * 7 % 301 AS DOUBLE) / 1024 AS p0,
+  CAST(l_orderkey * 5 % 301 AS DOUBLE) / 1024 AS p1,
+  CAST((l_suppkey * 37 + l_linenumber) % 301 AS DOUBLE) / 1024 AS p2,
+  CAST((l_suppkey % 4 * 50 + l_partkey) % 257 AS DOUBLE) / 1024 AS p3
+FROM {lineitem}""",
     # Stated and predicted class per row with a score, for metrics.
     "scored": """
 SELECT l_partkey % 8 AS label_code,

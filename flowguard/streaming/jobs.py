@@ -58,10 +58,15 @@ def ingest(spark: SparkSession, landing: str, out: str, files_per_trigger: int =
         paths = [r["path"] for r in frame.collect()]
         csv = [p for p in paths if p.lower().endswith(".csv")]
         json = [p for p in paths if p.lower().endswith(".json")]
+        other = [(p, "unsupported_type") for p in paths
+                 if not p.lower().endswith((".csv", ".json"))]
+        if other:
+            frame.sparkSession.createDataFrame(other, "source_id string, problem string").write.mode(
+                "overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=type")
         if csv or json:
             flows, errors = load.load_flows(frame.sparkSession, csv, json)
             flows.write.mode("overwrite").parquet(f"{out}/flows/batch={batch_id}")
-            errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
+            errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=content")
             records.release()
     return start(files, write, out, "append", once)
 
@@ -126,10 +131,11 @@ def limited_batches(requests: DataFrame, out: str, limit: int = vocab.LIMITER_LI
                     window_seconds: int = vocab.LIMITER_WINDOW_SECONDS, once: bool = True):
     """Decisions per micro-batch with the distributed operator, for very busy clients.
 
-    The admissions still inside the window are carried to the next micro-batch
-    as rows and decided again first, which admits them again. Requests may come
-    in any order inside a micro-batch but not across them. Every folder is named
-    by its batch and overwritten on a retry.
+    The admissions inside a client's last window, by the client's own clock, are
+    carried to the next micro-batch as rows and decided again first, which admits
+    them again; that is ``limit`` rows a client at most. Requests of a client may
+    come in any order inside a micro-batch but not across them. Every folder is
+    named by its batch and overwritten on a retry.
     """
     schema = f"client string, at bigint, id bigint, carried boolean, {limiter.DECISION}"
 
@@ -138,9 +144,9 @@ def limited_batches(requests: DataFrame, out: str, limit: int = vocab.LIMITER_LI
         rows = frame.select("client", "at", "id", F.lit(False).alias("carried"))
         if batch_id:
             earlier = spark.read.schema(schema).parquet(f"{out}/decided/batch={batch_id - 1}")
-            clock = earlier.agg(F.max("at")).first()[0] or 0
-            open_hits = earlier.where(F.col("allowed") & (
-                F.col("at") > clock - window_seconds * limiter.MICROS))
+            clocks = earlier.groupBy("client").agg(F.max("at").alias("clock"))
+            open_hits = earlier.where("allowed").join(clocks, "client").where(
+                F.col("at") > F.col("clock") - window_seconds * limiter.MICROS)
             rows = rows.unionByName(open_hits.select(
                 "client", "at", "id", F.lit(True).alias("carried")))
         decided = limiter.batch_decisions(rows, limit, window_seconds)
@@ -163,22 +169,23 @@ def audit_sink(actions: DataFrame, out: str, enabled: bool = True, once: bool =
 
 def active_clients(requests: DataFrame, time: str = "ts", width: str = "1 minute",
                    late: str = "5 minutes") -> DataFrame:
-    """Requests and roughly how many clients per window."""
+    """Requests and clients per window: counted per client first, then over clients."""
     requests = requests.withColumn(time, instant(F.col(time)))
-    return (requests.withWatermark(time, late).groupBy(F.window(time, width).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_requests"),
-                 F.approx_count_distinct("client").alias("n_clients"))
+    per_client = (requests.withWatermark(time, late).groupBy(F.window(time, width).alias("v"), "client")
+                  .agg(F.count(F.lit(1)).alias("n")))
+    return (per_client.groupBy(F.window(F.col("v"), width).alias("w"))
+            .agg(F.sum("n").alias("n_requests"), F.count(F.lit(1)).alias("n_clients"))
             .select(zoneless(F.col("w.start")).alias("window_start"), "n_requests", "n_clients"))
 
 
-def drain(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and return what it wrote."""
+def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run a stream over what is there now and return the rows it has finished.
+
+    A window is finished, and its state dropped, once the watermark has passed its end.
+    """
     folder = work_folder(spark)
 
     def write(frame: DataFrame, batch_id: int) -> None:
-        if mode == "complete":
-            frame.write.mode("overwrite").parquet(f"{folder}/out/batch=0")
-        else:
-            frame.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-    start(stream, write, folder, mode, True).awaitTermination()
+        frame.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+    start(stream, write, folder, "append", True).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")

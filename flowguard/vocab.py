@@ -132,9 +132,7 @@ EMAIL_PATTERN = (r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 EMAIL_MAX = 255
 FILENAME_MAX = 255
 
-# Limits of the reference behaviour; batch jobs run uncapped
-# unless the caller asks for them.
-LOG_ROW_CAP = 100_000
+# Limits of the reference behaviour.
 UPLOAD_MAX_BYTES = 100 * 1024 * 1024
 PREVIEW_ROWS = 5
 LIMITER_LIMIT, LIMITER_WINDOW_SECONDS = 120, 60

@@ -36,9 +36,14 @@ def test_reports_round_trip(spark, tmp_path):
     assert rows["evidence.confidence"] == "0.95"
     assert rows["evidence.predicted_at"] == "2024-05-01 10:20:30.500000"
     assert rows["findings.requires_immediate_action"] == "True"
-    assert rows["recommendations[0]"].startswith("Escalate")
+    assert rows["recommendations[0]"].startswith("Page")
     assert spark.read.parquet(f"{path}/audit").count() == spark.read.parquet(f"{path}/rows").count() == 2
     assert sinks.report_by_id(good, "p2").count() == 1
+    again = spark.createDataFrame([("p1",)], "id string")
+    for _ in range(2):  # a retry of a run replaces that run alone
+        sinks.create_reports(spark, again, findings(spark), uploads, path, 3, "x", run="second")
+    assert sinks.read_reports(spark, f"{path}/json")[0].count() == 3
+    assert spark.read.parquet(f"{path}/rows").count() == spark.read.parquet(f"{path}/audit").count() == 3
     with pytest.raises(PermissionError):
         sinks.create_reports(spark, wanted, findings(spark), uploads, path, 3, "x", enabled=False)
 
@@ -121,3 +126,18 @@ def test_streamed_limits_continue_across_batches(spark, tmp_path, keyed):
     rows = spark.read.parquet(f"{work}/out/*") if keyed else jobs.limited_results(spark, work)
     assert {r["id"]: r["allowed"] for r in rows.collect()} == {
         0: True, 1: True, 2: False, 3: False, 60: True, 61: True}
+
+
+def test_a_client_that_lags_behind_others_keeps_its_admissions(spark, tmp_path):
+    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
+    schema = "client string, at bigint, id bigint"
+
+    def arrive(*rows):
+        frame = spark.createDataFrame([(c, t * 1_000_000, i) for c, t, i in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        jobs.limited_batches(jobs.read_table(spark, folder), work, 1, 60).awaitTermination()
+    arrive(("a", 0, 1))
+    arrive(("b", 1000, 2))
+    arrive(("a", 30, 3), ("a", 60, 4))
+    assert {r["id"]: r["allowed"] for r in jobs.limited_results(spark, work).collect()} == {
+        1: True, 2: True, 3: False, 4: True}

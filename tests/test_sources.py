@@ -55,11 +55,43 @@ def test_csv_layouts(spark, tmp_path):
     assert [c for _, c in got["lines.csv"]] == [["two\nlines", "2"], ["5", "6"]]
 
 
-def test_oversized_spanning_file_is_refused(spark, tmp_path):
-    folder = put(tmp_path, lines__csv='a,b\n"two\nlines",2\n5,6\n', fine__csv="a\n1\n")
-    parsed = csvlog.read(spark, folder, max_whole=5)
-    assert by_source(parsed.errors, "problem") == {
-        "lines.csv": "quoted_line_break_in_oversized_file"}
+def test_quotes_count_at_the_start_of_a_field_only(spark, tmp_path):
+    folder = put(tmp_path, inch__csv='a,b\n5" disk,1\n6,2\n', semi__csv='a;b\nx"y;"p\nq"\n3;4"\n')
+    parsed = csvlog.read(spark, folder)
+    assert parsed.errors.count() == 0
+    got = {}
+    for r in parsed.records.orderBy("source_id", "block", "seq").collect():
+        got.setdefault(r["source_id"].rsplit("/", 1)[1], []).append(r["cells"])
+    assert got == {"inch.csv": [['5" disk', "1"], ["6", "2"]],
+                   "semi.csv": [['x"y', "p\nq"], ["3", '4"']]}
+
+
+def test_records_that_span_lines_are_joined_across_splits(spark, tmp_path):
+    rows = [[str(i), 'x"' * (i % 3) + "\n,\n" * (i % 5) + "y" * (i % 40)] for i in range(3000)]
+    text = "n,t\n" + "\n".join(f'{n},"{t.replace(chr(34), chr(34) * 2)}"' for n, t in rows)
+    folder = put(tmp_path, big__csv=text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        parsed = csvlog.read(spark, folder)
+        assert parsed.errors.count() == 0
+        found = parsed.records.orderBy("block", "seq").select("block", "cells").collect()
+        assert len({r["block"] for r in found}) > 10
+        assert [r["cells"] for r in found] == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_repeated_keys_blank_lines_and_empty_objects(spark, tmp_path):
+    folder = put(tmp_path, twice__json='{"a":1,"a":2,"b":"x"}\n\t\n{"a":3}\n',
+                 empty__json='{"a":1}\n{}\n{"a":2}\n', cut__json='{"a":1,"a":2\n')
+    parsed = jsonlog.read(spark, folder)
+    assert by_source(parsed.errors, "problem") == {"cut.json": "not_a_json_object"}
+    cells = records.to_long(parsed.records)
+    assert sorted(r["raw"] for r in cells.where("source_id LIKE '%twice%'").collect()) == ["2", "3", "x"]
+    seen = {(r["source_id"].rsplit("/", 1)[1], r["col_name"]): (r["n_rows"], r["null_count"])
+            for r in profile.column_profile(cells).collect()}
+    assert seen["empty.json", "a"] == (3, 1) and seen["twice.json", "b"] == (2, 1)
 
 
 def test_json_layouts(spark, tmp_path):
@@ -90,17 +122,6 @@ def test_json_layouts(spark, tmp_path):
     assert names == ["b", "a", "c"]
 
 
-def test_cap_marks_truncation(spark, tmp_path):
-    folder = put(tmp_path, a__csv="x\n1\n2\n3\n4\n", b__csv="x\n1\n2\n",
-                 c__csv="x\n1\n2\n3\n4,5\n", d__csv="x\n1\n2\n3,4\n")
-    parsed = csvlog.read(spark, folder, cap=2)
-    assert by_source(parsed.errors, "problem") == {"d.csv": "ragged_row"}
-    cut = by_source(parsed.truncated, "truncated")
-    assert cut["a.csv"] and cut["c.csv"] and not cut["b.csv"]
-    assert by_source(parsed.records.groupBy("source_id").count(), "count") == {
-        "a.csv": 2, "b.csv": 2, "c.csv": 2}
-
-
 def test_row_index_counts_across_splits(spark, tmp_path):
     rows = "\n".join(f"{i},{'x' * (i % 50)}" for i in range(20000))
     folder = put(tmp_path, big__csv="n,t\n" + rows + "\n", small__csv="n,t\n0,a\n1,b\n")
@@ -120,18 +141,24 @@ def test_row_index_counts_across_splits(spark, tmp_path):
 DETECTION = "Flow Duration,Total Length of Fwd Packets,Total Packets,Avg Packet Size"
 
 
+# Each threshold from both sides: mean bytes and peak rate, packets and packet size, rows and duration.
+BYTES = "Total Length of Fwd Packets"
+PACKETS = "Total Packets,Avg Packet Size"
+
+
 @pytest.mark.parametrize("header, rows, attack, confidence, severity, n_rules", [
-    (DETECTION, ["12000,1500000,4,1200"] * 6, "DoS", 0.9, "Critical", 1),
-    (DETECTION, ["9000000,600,26,32"] * 12, "PortScan", 0.8, "High", 1),
-    (DETECTION, ["8000,300,2,150"] * 12, "BruteForce", 0.7, "High", 1),
-    (DETECTION, ["40000,2048,6,340"] * 4, "Benign", 0.7, "Low", 0),
-    ("Total Length of Fwd Packets,Total Packets,Avg Packet Size", ["1500000,26,32"] * 12,
-     "DoS", 0.95, "Critical", 2),
-    ("Label,Total Length of Fwd Packets", ["DoS Hulk,9000000"] * 2, "DoS", 0.99, "Critical", 0),
-    ("Label,Total Length of Fwd Packets", ["BENIGN,9000000"] * 2, "Benign", 0.99, "Low", 0),
-    ("Label", ["PortScan", "DDoS"], "Unknown", 0.3, "Low", 0),
-    ("Label", ["Worm Propagation"] * 2, "Unknown", 0.3, "Low", 0),
-    ("src_ip,dst_port,protocol", ["10.0.0.1,80,tcp"] * 2, "Unknown", 0.3, "Low", 0),
+    (BYTES, ["1000001", "999999"], "DoS", 0.9, "Critical", 1),
+    (BYTES, ["999998", "1000001"], "Benign", 0.7, "Low", 0),
+    (BYTES + ",Flow Packets/s", ["5,1000"], "DoS", 0.9, "Critical", 1),
+    (BYTES + ",Flow Packets/s", ["5,999.5"], "Benign", 0.7, "Low", 0),
+    (PACKETS, ["20,64", "1,3"], "PortScan", 0.8, "High", 1),
+    (PACKETS, ["19,64"], "Benign", 0.7, "Low", 0),
+    (PACKETS, ["20,64.5"], "Benign", 0.7, "Low", 0),
+    ("Flow Duration", ["1000000"] * 10, "BruteForce", 0.7, "High", 1),
+    ("Flow Duration", ["1000000"] * 9, "Benign", 0.7, "Low", 0),
+    ("Flow Duration", ["1000001"] * 10, "Benign", 0.7, "Low", 0),
+    ("Label,Flow Duration", ["Bot,1", "Bot,2"], "Bot", 0.99, "High", 0),
+    ("colour,shape", ["red,round"], "Unknown", 0.3, "Low", 0),
 ])
 def test_detection_of_files(spark, tmp_path, header, rows, attack, confidence, severity, n_rules):
     folder = put(tmp_path, log__csv="\n".join([header, *rows]) + "\n")
