@@ -149,8 +149,8 @@ PACKETS = "Total Packets,Avg Packet Size"
 @pytest.mark.parametrize("header, rows, attack, confidence, severity, n_rules", [
     (BYTES, ["1000001", "999999"], "DoS", 0.9, "Critical", 1),
     (BYTES, ["999998", "1000001"], "Benign", 0.7, "Low", 0),
-    (BYTES + ",Flow Packets/s", ["5,1000"], "DoS", 0.9, "Critical", 1),
-    (BYTES + ",Flow Packets/s", ["5,999.5"], "Benign", 0.7, "Low", 0),
+    (BYTES + ",Packet Rate", ["5,1000"], "DoS", 0.9, "Critical", 1),
+    (BYTES + ",Packet Rate", ["5,999.5"], "Benign", 0.7, "Low", 0),
     (PACKETS, ["20,64", "1,3"], "PortScan", 0.8, "High", 1),
     (PACKETS, ["19,64"], "Benign", 0.7, "Low", 0),
     (PACKETS, ["20,64.5"], "Benign", 0.7, "Low", 0),
