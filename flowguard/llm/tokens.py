@@ -17,18 +17,25 @@ import numpy as np
 # White space as the tokenizers see it; Python also counts 1C to 1F, which stay inside words here.
 WORDS_WITH_SPACE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 WORDS_ALONE = re.compile(r"[\S\x1c-\x1f]+")
-# Anything but single blanks and single line ends between words, and what marks a first word.
-UNUSUAL = re.compile(r"[^\S \n]|\x00|[ \n][ \n]|^[ \n]|[ \n]$")
 FIRST = "\x00"
+# Anything but single blanks and single line ends between words, and what marks a first word.
+PAIRS = ("  ", " \n", "\n ", "\n\n")
+OTHER_SPACE = [FIRST, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
 LONG = 256
 
 
+def unusual(text: str) -> bool:
+    return (text[0] in " \n" or text[-1] in " \n" or any(p in text for p in PAIRS)
+            or any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE)))
+
+
 def split_with_space(text: str) -> list[str]:
     """Words with the white space before them. A blank before a word is left out, and the first
     word of a text has ``FIRST`` before it; ``spelled`` gives the words as they stand."""
     if not text:
         return []
-    if UNUSUAL.search(text):
+    if unusual(text):
         words = WORDS_WITH_SPACE.findall(text)
         if not words[0][0].isspace() or words[0][0] in "\x1c\x1d\x1e\x1f":
             words[0] = FIRST + words[0]
@@ -41,7 +48,7 @@ def split_with_space(text: str) -> list[str]:
 def spelled(word: str) -> str:
     if word[0] == FIRST:
         return word[1:]
-    return word if WORDS_WITH_SPACE.match(word).start() == 0 and not WORDS_ALONE.match(word) else " " + word
+    return word if word[0].isspace() and word[0] not in "\x1c\x1d\x1e\x1f" else " " + word
 
 
 def split_alone(text: str) -> list[str]:
