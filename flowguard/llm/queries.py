@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowguard.llm import (decontam, exact_dedup, langid, lmscore, packing, pii, rans, sharding, simhash,
                            warc)
-from flowguard.llm.common import rows_batch
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 QUERIES: dict = {}
@@ -55,16 +51,8 @@ def language_id(spark, sf_dir):
 @query("op5_token_ids")
 def token_ids(spark, sf_dir):
     found = rans.encode_and_read(table(spark, sf_dir, "documents"))
-
-    def digest(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                            ("ids_crc32", pa.int64())])
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield rows_batch({"doc_id": batch.column("doc_id"), "start": batch.column("start"),
-                              "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids]},
-                             schema)
-    return found.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.crc32("ids").alias("ids_crc32"))
 
 
 PAGES_SQL = """

@@ -74,16 +74,15 @@ class Coder:
     def __post_init__(self):
         self.cum = np.cumsum(self.freq) - self.freq
         self._slots = None
-
-    def _check(self, symbols: np.ndarray, ids: np.ndarray) -> None:
-        if len(ids) and (symbols.max(initial=0) >= len(self.tokens) or (self.tokens[symbols] != ids).any()):
-            raise ValueError("a token id is not in the frequency table")
+        # By token id, for the encoder; ids that are not in the table have frequency 0.
+        self._freq_of, self._cum_of = np.zeros((2, int(self.tokens.max(initial=0)) + 1), np.uint64)
+        self._freq_of[self.tokens], self._cum_of[self.tokens] = self.freq, self.cum
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray, list[int]]:
         """Stream, lane states at each checkpoint, and the checkpoints' places in the stream."""
-        symbols = np.searchsorted(self.tokens, ids)
-        self._check(symbols, ids)
-        freq, cum = self.freq[symbols].astype(np.uint64), self.cum[symbols].astype(np.uint64)
+        if ids.max(initial=0) >= len(self._freq_of) or not (freq := self._freq_of[ids]).all():
+            raise ValueError("a token id is not in the frequency table")
+        cum = self._cum_of[ids]
         state, bits = np.full(LANES, LOW, np.uint64), np.uint64(SCALE_BITS)
         most = np.uint64((LOW >> SCALE_BITS) << 32)
         words, states, places, written = [], [], [], 0

@@ -13,11 +13,14 @@ import zlib
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # White space as the tokenizers see it; Python also counts 1C to 1F, which stay inside words here.
 WORDS_WITH_SPACE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 WORDS_ALONE = re.compile(r"[\S\x1c-\x1f]+")
 FIRST = "\x00"
+BLANK = pa.scalar(" ", pa.large_string())
 # Anything but single blanks and single line ends between words, and what marks a first word.
 PAIRS = ("  ", " \n", "\n ", "\n\n")
 OTHER_SPACE = [FIRST, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
@@ -35,13 +38,9 @@ def split_with_space(text: str) -> list[str]:
     word of a text has ``FIRST`` before it; ``spelled`` gives the words as they stand."""
     if not text:
         return []
-    if unusual(text):
-        words = WORDS_WITH_SPACE.findall(text)
-        if not words[0][0].isspace() or words[0][0] in "\x1c\x1d\x1e\x1f":
-            words[0] = FIRST + words[0]
-        return words
-    words = text.replace("\n", " \n").split(" ")
-    words[0] = FIRST + words[0]
+    words = WORDS_WITH_SPACE.findall(text)
+    if not words[0][0].isspace() or words[0][0] in "\x1c\x1d\x1e\x1f":
+        words[0] = FIRST + words[0]
     return words
 
 
@@ -117,11 +116,40 @@ class WordTable:
             self.ids = self.ids[:int(self.starts[-1] + self.counts[-1]) if n else 0]
         self.place.new = []
 
+    def _number(self, words, n: int) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, n)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts with single blanks and line ends only, and their counts.
+        Arrow splits them and finds the different words, so that each is looked up once."""
+        spaced = ([FIRST + t.replace("\n", " \n") for t in texts] if self.keep_space
+                  else [t.replace("\n", " ") for t in texts])
+        words = pc.split_pattern(pa.array(spaced, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        n = len(coded.dictionary)
+        different = pc.binary_join(pa.ListArray.from_arrays([0, n], coded.dictionary), BLANK)[0].as_py()
+        return (self._number(different.split(" "), n)[coded.indices.to_numpy()],
+                pc.list_value_length(words).to_numpy())
+
+    def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words in order, and the number of words of each text."""
+        plain = np.array([bool(t) and not unusual(t) for t in texts], bool)
+        others = [self.find(t) for t, p in zip(texts, plain) if not p]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~plain] = list(map(len, others))
+        if plain.any():
+            found, sizes[plain] = self._plain([t for t, p in zip(texts, plain) if p])
+            if not others:
+                return found, sizes
+        at, of_plain = np.empty(sizes.sum(), np.int64), np.repeat(plain, sizes)
+        if plain.any():
+            at[of_plain] = found
+        at[~of_plain] = self._number(chain.from_iterable(others), int(sizes[~plain].sum()))
+        return at, sizes
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        words = [self.find(t) for t in texts]
-        sizes = list(map(len, words))
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        at, sizes = self._places(texts)
         if self.place.new:
             self._learn()
         counts = self.counts[at]
