@@ -31,7 +31,7 @@ from flowguard.llm.tokens import crc, with_end, word_table
 
 CAPACITY = 4096
 END = 2
-KNOWN_WORDS = 1_500_000  # kept by a worker process: some 250 MB
+KNOWN_WORDS = 700_000  # kept by a worker process: some 120 MB, beside what earlier stages left
 PIECES = pa.schema([("part", pa.int32()), ("k", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
                     ("length", pa.int32()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()),
                     ("ids", pa.binary())])
