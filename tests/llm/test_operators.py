@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -114,6 +115,41 @@ def test_lm_scoring_is_the_mean_of_token_losses(spark):
         assert got[k].ce_target == pytest.approx(loss(t.split(), texts[:1]), rel=1e-5)
 
 
+def test_lm_scoring_counts_true_words_and_pairs(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+    wanted = {r.doc_id for r in good.collect()}
+    texts = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
+    models = []
+    for own in ([t for d, t in texts if d in wanted], [t for _, t in texts]):
+        models.append((Counter(w for t in own for w in t), Counter(p for t in own for p in zip(t, t[1:]))))
+    vocabulary = max(lmscore.WORDS, len(models[1][0]))
+
+    def model(words, pairs):
+        size = sum(words.values())
+        return lambda w, before=None: (words[w] + 1) / (size + vocabulary) if before is None else (
+            pairs[before, w] + lmscore.PRIOR * (words[w] + 1) / (size + vocabulary)) / (words[before] + lmscore.PRIOR)
+    p = [model(*m) for m in models]
+    for before in random.Random(1).sample(sorted(models[1][0]), 8) + [models[1][0].most_common(1)[0][0]]:
+        for k in range(2):
+            assert sum(p[k](w, before) for w in models[1][0]) <= 1 + 1e-9
+    found = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, good).collect()}
+    for d, t in texts:
+        if t:
+            want = [np.mean([-np.log(q(w, t[k - 1] if k else None)) for k, w in enumerate(t)]) for q in p]
+            assert (found[d].ce_target, found[d].ce_background) == pytest.approx(want, rel=1e-9)
+
+
+def test_lm_scoring_by_many_blocks_and_owners(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = rows(lmscore.cross_entropy_difference(docs, docs.where("doc_id % 3 = 0")))
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(lmscore, "OWNER_BYTES", 9000)
+    found = rows(lmscore.cross_entropy_difference(docs, docs.where("doc_id % 3 = 0")))
+    assert len(found) == len(want) and all(a == pytest.approx(b, rel=1e-9) for a, b in zip(found, want))
+
+
 def test_lm_scoring_odd_input(odd, none):
     found = lmscore.cross_entropy_difference(odd, odd.where("lang = 'de'"))
     assert found.count() == len(ODD)
