@@ -9,8 +9,9 @@ added ones may not overlap a kept one of their kind.
 
 The model learns from a sample of ``sample_docs`` documents, chosen by a hash of the id: base
 matches that pass their checks are positive, those that fail and loose candidates that contradict a
-check (digit counts, check digit, number range) negative, and half of the positives are shown
-in a loose spelling, as their text would look there. Every text is searched whole.
+check (``may_be``: digit counts, check digit, number range, form of a domain) negative, and half of the
+positives are shown in a loose spelling, as their text would look there. Loose candidates that pass may
+be personal data or not, so they teach nothing. Every text is searched whole.
 
 Nulls count as empty text; every row gives one row, also rows that repeat an id. Texts without
 candidates have counts of 0. Without positive examples in the sample nothing is added to the base.
@@ -50,6 +51,11 @@ LOOSE_MAIL = re.compile(
     r"(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}){1,4}", re.I)
 LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|\[\.\]) ?[0-9]{1,3}){3}(?![0-9])")
 LOOSE_DIGITS = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9](?:[ ()./-]{0,3}[0-9]){7,18}(?![0-9A-Za-z])")
+# A domain after its sign: a full stop with a blank on one side only ends a sentence.
+LOOSE_SIGN = re.compile(r" ?(?:@|\(at\)|\[at\]| at ) ?", re.I)
+LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+LOOSE_DOT = r"(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.| \. )"
+DOMAIN = re.compile(rf"{LABEL}(?:{LOOSE_DOT}{LABEL})*?{LOOSE_DOT}[A-Za-z]{{2,63}}(?![A-Za-z0-9-])", re.I)
 CUES = {0: ("mail", "contact", "write", "reach"), 1: ("ip", "address", "host", "server"),
         2: ("card", "visa", "credit", "payment"), 3: ("phone", "call", "tel", "mobile", "fax")}
 CONTEXT = 24
@@ -111,6 +117,17 @@ def loose_matches(text: str) -> Iterator[tuple[int, int, int]]:
         yield 3, *m.span()
 
 
+def may_be(kind: int, span: str) -> bool:
+    """Whether a loose candidate passes its kind's check; a mail address may have more behind it."""
+    if kind == 0:
+        sign = LOOSE_SIGN.search(span)
+        return sign is not None and DOMAIN.match(span, sign.end()) is not None
+    if kind == 1:
+        return all(int(x) <= 255 for x in re.findall(r"[0-9]+", span))
+    digits = digits_of(span)
+    return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
+
 def features(text: str, kind: int, start: int, end: int, shown: str | None = None) -> list[float]:
     """Format of the span and what stands around it. ``shown``: another spelling of the span."""
     span = text[start:end] if shown is None else shown
@@ -157,7 +174,7 @@ def examples(text: str) -> Iterator[tuple[int, int, list[float]]]:
         if good:
             yield k, 1, features(text, k, s, e, _spelled(k, text[s:e]))
     for k, s, e in loose_matches(text):
-        if any(a < e and s < b for _, a, b in taken):
+        if any(a < e and s < b for _, a, b in taken) or may_be(k, text[s:e]):
             continue
         yield k, 0, features(text, k, s, e)
 

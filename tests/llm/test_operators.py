@@ -495,6 +495,30 @@ def test_pii_keeps_base_and_redacts(spark, odd, none):
     assert pii.detect(none, pii.train(none)).count() == 0
 
 
+def test_loose_candidates_are_negative_only_by_a_check():
+    def labels(text):
+        return {(k, y) for k, y, _ in pii.examples(text)}
+    assert labels("write to bob at site dot com today") == labels("from 10 . 0 . 3 . 1 on") == set()
+    assert labels("write to bob at site dot com. Thanks") == set()
+    assert labels("we met at noon. Then it rained") == {(0, 0)}
+    assert labels("from 10 . 0 . 300 . 1 on") == {(1, 0)}
+    assert labels("12/34/56/78") == {(2, 0), (3, 0)}  # too few digits for either
+
+
+def test_pii_adds_spelled_out_data_next_to_decoys(spark):
+    names, texts = random.Random(4), []
+    for k in range(400):
+        name = "".join(names.choices("abcdefghij", k=6))
+        texts.append(f"mail {name}@site.example.com from 10.0.{k % 250}.{k % 90} please")
+        texts.append(f"write to {name} at corp dot example dot com from 10 . 1 . {k % 250} . 7 please")
+        texts.append(f"we met at {name}. Then it rained, version 1 . 400 . {k + 256} . 7 came")
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    found = {r.doc_id: r.spans for r in pii.detect(docs, pii.train(docs)).collect()}
+    for k, t in enumerate(texts):
+        kinds = [s.split(":")[0] for s in found[k].split(",") if s]
+        assert kinds == (["email", "ip"] if k % 3 < 2 else []), t
+
+
 def test_boosting_learns_and_calibrates():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 4))
