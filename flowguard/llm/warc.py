@@ -38,7 +38,7 @@ MAGIC = b"\x1f\x8b\x08"
 FILE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 20
-MOST_HEADER = 1 << 16
+HEADER_BYTES = 1 << 16  # read at first in search of the end of a header
 MANIFEST = pa.schema([("path", pa.string()), ("length", pa.int64()), ("n_records", pa.int64())])
 RECORD = pa.schema([
     ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("record_type", pa.string()),
@@ -180,7 +180,7 @@ def parse(data: bytes, whole: bool) -> tuple[dict, bytes, int]:
 
     ``whole``: nothing may follow the record, as in a gzip member.
     """
-    head = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    head = data.find(b"\r\n\r\n")
     if not data.startswith(VERSION) or head < 0:
         raise Damaged("no header")
     fields = {}
@@ -204,9 +204,14 @@ def parse(data: bytes, whole: bool) -> tuple[dict, bytes, int]:
 
 def _plain(window: Held, at: int) -> tuple[dict, bytes, int]:
     """The record without compression at ``at``, and the place after it."""
-    window.upto(at + MOST_HEADER)
-    view = window.data[at - window.base:at - window.base + MOST_HEADER]
-    head = view.find(b"\r\n\r\n")
+    size = HEADER_BYTES
+    while True:  # a header has any length, but no version line
+        more = window.upto(at + size)
+        view = window.data[at - window.base:at - window.base + size]
+        head = view.find(b"\r\n\r\n")
+        if head >= 0 or not more or b"\r\n" + VERSION in view:
+            break
+        size *= 2
     for line in view[:max(head, 0)].split(b"\r\n"):
         key, _, value = line.partition(b":")
         if key.strip().lower() == b"content-length" and value.strip().isdigit():

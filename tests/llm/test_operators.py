@@ -393,6 +393,16 @@ def test_warc_round_trip(pages, compress):
     assert warc.read(warc.write(pages, least_bytes=100, compress=compress)).where("record_type = 'revisit'").count() == 0
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_reads_long_headers(spark, compress):
+    urls = {k: f"http://{k}/" + hashlib.sha256(b"%d" % k).hexdigest() * (k * 1600) for k in range(4)}
+    files = warc.write(spark.createDataFrame([(k, u, f"page {k}") for k, u in urls.items()],
+                                             "page_id long, url string, html string").coalesce(1), compress=compress)
+    found = warc.read(files)
+    assert {r[0]: r[1] for r in rows(found, warc.page_of("record_id"), "target_uri")} == urls
+    assert max(map(len, urls.values())) > 300_000 and warc.gaps(files, found).count() == 0
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_warc_salvage(spark, pages, compress, monkeypatch):
     files = warc.write(pages.coalesce(1), compress=compress)
