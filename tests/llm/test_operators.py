@@ -444,6 +444,19 @@ def test_decontamination(spark, none):
     assert decontam.decontaminate(none, bench).count() == 0
 
 
+def test_blocks_of_items_leave_rows_alone(spark, monkeypatch):
+    other = "eleven brass clocks stopped in the old harbour tower when winter storms broke every southern window"
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in (
+        (1, PASSAGE), (1, "nothing of it here"), (None, other), (None, "clean words only"), (None, PASSAGE),
+        (2, f"{PASSAGE} {other}"))], DOCS)
+    bench = spark.createDataFrame([(7, PASSAGE), (8, " ".join(f"v{k}" for k in range(30))), (3, other)],
+                                  "item_id long, text string")
+    want = rows(decontam.decontaminate(docs, bench), "doc_id", "contaminated", "item_ids")
+    assert len(want) == 6 and [r[2] for r in want if r[0] == 2] == [[3, 7]]
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", 1)
+    assert rows(decontam.decontaminate(docs, bench), "doc_id", "contaminated", "item_ids") == want
+
+
 def test_lcs():
     rng = random.Random(5)
     for _ in range(200):
