@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowguard.llm import (decontam, exact_dedup, langid, lmscore, packing, pii, rans, sharding, simhash,
+from flowguard.llm import (ann, decontam, exact_dedup, langid, lmscore, packing, pii, rans, sharding, simhash,
                            warc)
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -104,3 +104,9 @@ FROM n WINDOW same AS (PARTITION BY body)""")
 def exact(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
+
+
+@query("op12_nearest_neighbours")
+def nearest_neighbours(spark, sf_dir):
+    """The 5 nearest rows of every vector whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
