@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowguard.llm import (ann, decontam, exact_dedup, langid, lmscore, packing, pii, rans, sharding, simhash,
-                           warc)
+                           warc, whiten)
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 QUERIES: dict = {}
@@ -110,3 +110,8 @@ def exact(spark, sf_dir):
 def nearest_neighbours(spark, sf_dir):
     """The 5 nearest rows of every vector whose id is divisible by 50."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark, sf_dir):
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
