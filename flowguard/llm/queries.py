@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowguard.llm import (ann, decontam, exact_dedup, langid, lmscore, packing, pii, rans, sharding, simhash,
-                           warc, whiten)
+                           trie, warc, whiten)
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 QUERIES: dict = {}
@@ -106,6 +106,43 @@ def exact(spark, sf_dir):
 
 
 
+TRIE_SQL = r"""
+WITH RECURSIVE polynomials AS (
+  SELECT range AS byte, list_reduce(list_prepend(range, range(0, 8)), lambda a, i:
+    CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS crc FROM range(0, 256)),
+codes AS (SELECT list(crc ORDER BY byte) AS crcs FROM polynomials),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, ROW_NUMBER() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' ||
+      coalesce(role, '') || coalesce(text, '')), 1, 32)) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+heads AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: xor(a >> 8, crcs[xor(a & 255, c) + 1])), 4294967295) % 4 AS h FROM own, codes),
+c AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.turns, 1, a.h), []), list_slice(a.turns, a.h + 1, len(a.turns)))
+    AS turns FROM heads a LEFT JOIN own b ON b.conv_id = a.base),
+p AS (SELECT conv_id, turns, d, CASE WHEN d = 0 THEN [] ELSE list_slice(turns, 1, d) END AS path
+  FROM c, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+n AS (SELECT path, d, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = d), '') AS ends
+  FROM p GROUP BY path, d),
+k AS (SELECT path, d, CASE WHEN d > 0 THEN list_slice(path, 1, d - 1) END AS above,
+    (n_convs - 1) * CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM n),
+kids AS (SELECT above, COUNT(*) AS n FROM k WHERE d > 0 GROUP BY above),
+s AS (SELECT list_slice(k.path, 1, u.a) AS path, SUM(k.saved) AS saved, COUNT(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM k LEFT JOIN kids ON kids.above = k.path, LATERAL (SELECT unnest(range(0, k.d + 1)) AS a) u GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+  s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN k ON k.path = n.path LEFT JOIN n up ON up.path = k.above
+LEFT JOIN kids ON kids.above = n.path JOIN s ON s.path = n.path"""
+
+
+@query("op11_conversation_trie", TRIE_SQL)
+def conversation_trie(spark, sf_dir):
+    """A row for each node of the trie of rebuilt conversations."""
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_nearest_neighbours")
 def nearest_neighbours(spark, sf_dir):
     """The 5 nearest rows of every vector whose id is divisible by 50."""
