@@ -80,11 +80,15 @@ def test_query_against_sql(spark, sf, name):
     assert oracle.difference(spark, oracle.connect(sf), sf, queries.QUERIES[name], queries.ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in queries.QUERIES if int(q[2:].split("_")[0]) <= 10))
 def test_query_is_whole(spark, sf, name):
+    """Each row once; of packing at least one piece of each document."""
     table, key = ("pages", "page_id") if name.startswith("op6_") else ("documents", "doc_id")
-    want = {r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()}
-    assert {r[0] for r in queries.QUERIES[name](spark, sf).select(key).collect()} == want
+    want = Counter(r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect())
+    found = Counter(r[0] for r in queries.QUERIES[name](spark, sf).select(key).collect())
+    if name.startswith("op7_"):
+        found = Counter(dict.fromkeys(found, 1))
+    assert found == want
 
 
 # --- language-model scoring ------------------------------------------------
