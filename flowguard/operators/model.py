@@ -7,7 +7,10 @@ Rows are scored in place; the verdict needs one pre-aggregated shuffle by
 from __future__ import annotations
 
 import json
+import random
 from dataclasses import asdict, dataclass, field
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,6 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsR
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,16 +149,19 @@ def roll_up(scored: DataFrame, keys=("source_id",)) -> DataFrame:
 
 
 def with_fallback(model_verdicts: DataFrame, rule_verdicts: DataFrame,
-                  floor: float = vocab.MODEL_FLOOR) -> DataFrame:
-    """The model's verdict where it is sure enough, else the rules'."""
+                  floor: float = vocab.MODEL_FLOOR, metadata: Metadata | None = None) -> DataFrame:
+    """The model's verdict where it is sure enough, else the rules'; the detail names the model."""
+    metadata = metadata or Metadata()
     m = model_verdicts.select("source_id", F.col("attack_type").alias("model_attack"),
-                              F.col("confidence").alias("model_confidence"))
+                              F.col("confidence").alias("model_confidence"), F.col("row_count").alias("model_rows"))
+    by = F.format_string("%s version %s on %d rows", F.lit(metadata.model_name), F.lit(metadata.version),
+                         F.col("model_rows"))
     both = rule_verdicts.join(m, "source_id", "left")
     sure = F.coalesce(F.col("model_confidence") >= floor, F.lit(False))
-    detail = (F.when(sure, F.lit("model"))
+    detail = (F.when(sure, by)
               .when(F.col("model_attack").isNotNull(), F.format_string(
-                  f"model at %.3f is below {floor:.3f} and said %s; rules decide",
-                  F.col("model_confidence"), F.col("model_attack")))
+                  f"%s at %.3f is below {floor:.3f} and said %s; rules decide",
+                  by, F.col("model_confidence"), F.col("model_attack")))
               .otherwise(F.array_join("matched_rules", "; ")))
     return both.select(
         "source_id", F.when(sure, F.col("model_attack")).otherwise(F.col("attack_type"))
@@ -235,15 +240,17 @@ def load_or_none(spark: SparkSession, path: str):
 
 # --- comparison, search, importance ---------------------------------------
 
-def estimators(trees: int = 20, seed: int = SEED) -> dict:
-    boosted = GBTClassifier(featuresCol="vector", labelCol="target", maxIter=3, maxDepth=3,
-                            seed=seed)
+def estimators(trees: int = 96, seed: int = SEED, depth: int = 5) -> dict:
+    """Candidates of one size: all weighted alike, and as many trees of one depth where they have trees."""
+    rounds = max(1, trees // len(vocab.TRAINABLE))  # boosting grows one tree a round for each class
+    boosted = GBTClassifier(featuresCol="vector", labelCol="target", weightCol="class_weight",
+                            maxIter=rounds, maxDepth=depth, seed=seed)
     return {
-        "random_forest": forest(trees, seed),
+        "random_forest": forest(trees, seed, depth),
         "logistic_regression": LogisticRegression(
-            featuresCol="vector", labelCol="target", weightCol="class_weight", maxIter=20),
+            featuresCol="vector", labelCol="target", weightCol="class_weight", maxIter=100),
         "boosted_trees": OneVsRest(classifier=boosted, featuresCol="vector", labelCol="target",
-                                   weightCol=None),
+                                   weightCol="class_weight", parallelism=4),
     }
 
 
@@ -251,29 +258,63 @@ def compare(training: DataFrame, test: DataFrame, candidates: dict | None = None
     """Fit every candidate on the same rows and measure it on the same rows."""
     train_rows, test_rows = prepared(training).cache(), prepared(test, weighted=False).cache()
     out = []
-    for name, estimator in (candidates or estimators()).items():
-        scored = estimator.fit(train_rows).transform(test_rows)
-        out.append({"model_name": name, **{
-            m: MulticlassClassificationEvaluator(labelCol="target", metricName=m).evaluate(scored)
-            for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}})
-    train_rows.unpersist()
-    test_rows.unpersist()
+    try:
+        rows = {"n_trained": train_rows.count(), "n_judged": test_rows.count()}
+        for name, estimator in (candidates or estimators()).items():
+            scored = estimator.fit(train_rows).transform(test_rows)
+            out.append({"model_name": name, **rows, **{
+                m: MulticlassClassificationEvaluator(labelCol="target", metricName=m).evaluate(scored)
+                for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}})
+    finally:
+        train_rows.unpersist()
+        test_rows.unpersist()
     return out
 
 
-def search(examples: DataFrame, trees=(10, 20), depths=(3, 5), folds: int = FOLDS,
-           seed: int = SEED) -> list[dict]:
-    """Cross-validated F1 of each parameter pair."""
-    estimator = forest(seed=seed)
-    grid = (ParamGridBuilder().addGrid(estimator.numTrees, list(trees))
-            .addGrid(estimator.maxDepth, list(depths)).build())
+#: What a trial is drawn from.
+SPACE = {"trees": (10, 20, 40), "depth": (3, 4, 5, 6, 8), "min_rows": (1, 5, 20), "bins": (16, 32, 64),
+         "impurity": ("gini", "entropy"), "subset": ("all", "sqrt", "onethird")}
+
+
+def trials(count: int, seed: int = SEED) -> list[dict]:
+    """``count`` different settings, drawn evenly."""
+    every = [dict(zip(SPACE, values)) for values in product(*SPACE.values())]
+    return random.Random(seed).sample(every, count)
+
+
+def search(examples: DataFrame, fold: Column, count: int = 50, folds: int = FOLDS, seed: int = SEED,
+           keep: int = 3, parallel: int = 4) -> list[dict]:
+    """Successive halving over folds: a row for each trial and rung.
+
+    In rung k every trial left is fitted on all rows but those of fold k and judged on these; the best
+    ``1 / keep`` by mean F1 over the folds so far go on, two at least, so the last are compared on all
+    folds. ``fold`` is a column of the rows, 0 to ``folds`` - 1.
+    """
     judge = MulticlassClassificationEvaluator(labelCol="target", metricName="f1")
-    rows = prepared(examples).cache()
-    fitted = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=judge,
-                            numFolds=folds, seed=seed, parallelism=2).fit(rows)
-    rows.unpersist()
-    return [{"trees": p[estimator.numTrees], "depth": p[estimator.maxDepth], "f1": float(m)}
-            for p, m in zip(grid, fitted.avgMetrics)]
+    rows = prepared(examples.withColumn("fold", fold)).cache()
+    left, scores, out = list(enumerate(trials(count, seed))), {}, []
+    try:
+        sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+        with ThreadPool(parallel) as pool:
+            for rung in range(folds):
+                training, test = rows.where(F.col("fold") != rung), rows.where(F.col("fold") == rung)
+
+                def fit(item):
+                    k, t = item
+                    one = forest(t["trees"], seed, t["depth"]).setMinInstancesPerNode(t["min_rows"]).setMaxBins(
+                        t["bins"]).setImpurity(t["impurity"]).setFeatureSubsetStrategy(t["subset"])
+                    return k, float(judge.evaluate(one.fit(training).transform(test)))
+                for k, f1 in pool.map(fit, left):
+                    scores.setdefault(k, []).append(f1)
+                ranked = sorted(left, key=lambda item: (-sum(scores[item[0]]), item[0]))
+                stay = {k for k, _ in ranked[:max(2, -(-len(left) // keep))]} if rung + 1 < folds else {ranked[0][0]}
+                judged = sizes.get(rung, 0)
+                out += [{"rung": rung, "trial": k, **t, "f1": sum(scores[k]) / len(scores[k]), "survived": k in stay,
+                         "n_trained": sum(sizes.values()) - judged, "n_judged": judged} for k, t in left]
+                left = [item for item in left if item[0] in stay]
+    finally:
+        rows.unpersist()
+    return out
 
 
 def importances(model: PipelineModel) -> list[dict]:

@@ -8,6 +8,7 @@ from flowguard.plans import (  # noqa: F401
     profiles,
     readers,
     relational,
+    stores,
     streams,
     traffic,
     training,

@@ -39,7 +39,7 @@ def stream_detection(spark, sf):
     return jobs.drain(spark, _joined_rules(jobs.windowed_verdicts(flows, width="90 days")))
 
 
-def _request_stream(spark, sf):
+def request_stream(spark, sf):
     name = "flowguard_events_stream"
     jobs.read_table(spark, f"{sf}/events*.parquet").createOrReplaceTempView(name)
     client = text.client_key(F.col("x_forwarded_for"), F.col("x_real_ip"), F.col("peer"))
@@ -49,7 +49,7 @@ def _request_stream(spark, sf):
 @query("stream_limiter", views="")
 def stream_limiter(spark, sf):
     """The limiter as a stream over all requests."""
-    keyed = _request_stream(spark, sf).select(
+    keyed = request_stream(spark, sf).select(
         F.col("event_id").alias("id"), "client", limiter.micros(F.col("ts")).alias("at"))
     folder = jobs.work_folder(spark)
     jobs.limited_batches(keyed, folder, traffic.LIMIT, traffic.WINDOW).awaitTermination()
@@ -64,7 +64,7 @@ SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start
   COUNT(DISTINCT client) AS n_clients FROM keyed GROUP BY 1
 HAVING window_start + INTERVAL 6 HOURS <= (SELECT MAX(ts) - INTERVAL 5 MINUTES FROM keyed)""")
 def stream_active_clients(spark, sf):
-    counted = jobs.active_clients(_request_stream(spark, sf), width="6 hours")
+    counted = jobs.active_clients(request_stream(spark, sf), width="6 hours")
     return jobs.drain(spark, counted)
 
 

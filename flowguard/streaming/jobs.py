@@ -8,18 +8,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowguard import vocab
 from flowguard.operators import detect, limiter, report
 from flowguard.session import ensure_checkpoint_dir
-from flowguard.sources import load, records
+from flowguard.sources import landing, listing, load, records
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -42,33 +44,44 @@ def start(stream: DataFrame, writer, folder: str, mode: str, once: bool) -> Stre
     return (out.trigger(availableNow=True) if once else out).start()
 
 
-def ingest(spark: SparkSession, landing: str, out: str, files_per_trigger: int = 1000,
-           once: bool = True) -> StreamingQuery:
+READABLE = (".csv", ".json")
+
+
+def ingest(spark: SparkSession, folder: str, out: str, files_per_read: int = 1000,
+           once: bool = True, settle: float = 0) -> StreamingQuery:
     """Parse landed CSV and JSON files and append their flow rows and errors.
 
-    A micro-batch is a bounded list of new paths; the files themselves are read
-    by the batch readers. Rows carry the batch id and a batch's folder is
-    overwritten when it is retried, so a retry never doubles rows.
+    Every landed file, in the folder or below it, ends as rows or as an error: empty files and foreign
+    types are told by the listing, the others by the readers, which take up to ``files_per_read`` at a
+    time. Rows carry the batch id and a batch's folders are overwritten when it is retried, so a retry
+    never doubles rows.
     """
-    files = (spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger)
-             .schema("path string, modificationTime timestamp, length bigint, content binary")
-             .load(landing).select("path"))
-
     def write(frame: DataFrame, batch_id: int) -> None:
-        paths = [r["path"] for r in frame.collect()]
-        csv = [p for p in paths if p.lower().endswith(".csv")]
-        json = [p for p in paths if p.lower().endswith(".json")]
-        other = [(p, "unsupported_type") for p in paths
-                 if not p.lower().endswith((".csv", ".json"))]
-        if other:
-            frame.sparkSession.createDataFrame(other, "source_id string, problem string").write.mode(
-                "overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=type")
-        if csv or json:
-            flows, errors = load.load_flows(frame.sparkSession, csv, json)
-            flows.write.mode("overwrite").parquet(f"{out}/flows/batch={batch_id}")
-            errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=content")
-            records.release()
-    return start(files, write, out, "append", once)
+        session = frame.sparkSession
+        files = listing.named(frame).persist()
+        try:
+            problem = (F.when(F.col("length") == 0, F.lit("empty_file"))
+                       .when(~F.col("suffix").isin(*READABLE), F.lit("unsupported_type")))
+            (files.select(F.col("path").alias("source_id"), problem.alias("problem")).where("problem is not null")
+             .write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=file"))
+            paths = (r["path"] for r in files.where(problem.isNull()).select("path").orderBy("path").toLocalIterator())
+            for part in count():
+                some = list(islice(paths, files_per_read))
+                if not some:
+                    break
+                by_suffix = [[p for p in some if p.lower().endswith(s)] for s in READABLE]
+                flows, errors = load.load_flows(session, *by_suffix)
+                flows.write.mode("overwrite").parquet(f"{out}/flows/batch={batch_id}/part={part}")
+                errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=content-{part}")
+                records.release()
+        finally:
+            files.unpersist()
+    return start(landing.stream(spark, folder, settle=settle), write, out, "append", once)
+
+
+def ingested(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Flow rows and errors of all batches of an ingest."""
+    return spark.read.parquet(f"{out}/flows"), spark.read.parquet(f"{out}/errors")
 
 
 def instant(c: Column) -> Column:
@@ -127,6 +140,85 @@ def limited(requests: DataFrame, limit: int = vocab.LIMITER_LIMIT,
         "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class Limiter(StatefulProcessor):
+    """Decisions of one client in order of request time, once the watermark has passed a request.
+
+    State: the requests that wait for the watermark, and the admissions of the last window, ``limit`` at
+    most. One timer at a time: at the first waiting request, or else a window after the last admission,
+    where it clears what is left. So a client that is not seen for a window leaves no state.
+    """
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, id bigint")
+        self.hits = handle.getValueState("hits", "hits array<bigint>")
+
+    def _timer(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["at"].tolist(), frame["id"].tolist())))
+        self._timer(min(at for at, _ in self.waiting.get()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        due = [r for r in waiting if r[0] < now]
+        hits = list(self.hits.get()[0]) if self.hits.exists() else []
+        if due:
+            times = np.array([at for at, _ in due], np.int64)
+            ok, left, wait, hits = limiter.decide(hits, times, self.limit, self.window)
+            yield pd.DataFrame({"client": key[0], "at": times, "id": [i for _, i in due], "allowed": ok,
+                                "remaining": left, "retry_after": wait})
+        rest = waiting[len(due):]
+        hits = [h for h in hits if h > now - self.window]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if hits:
+            self.hits.update((hits,))
+        else:
+            self.hits.clear()
+        if rest or hits:
+            self._timer(rest[0][0] if rest else hits[-1] + self.window)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocks_state(spark: SparkSession):
+    """Streams started inside keep their state in the store that timers and state variables need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+
+
+def limited_in_order(requests: DataFrame, limit: int = vocab.LIMITER_LIMIT,
+                     window_seconds: int = vocab.LIMITER_WINDOW_SECONDS, late: str = "1 minute") -> DataFrame:
+    """Decisions for a stream of ``(client, at, id)`` by request time, as soon as none earlier can come.
+
+    Start it inside ``rocks_state``.
+    """
+    timed = requests.select("client", "at", "id", F.timestamp_micros("at").alias("ts"))
+    return timed.withWatermark("ts", late).groupBy("client").transformWithStateInPandas(
+        statefulProcessor=Limiter(limit, window_seconds * limiter.MICROS),
+        outputStructType=f"client string, at bigint, id bigint, {limiter.DECISION}",
+        outputMode="append", timeMode="EventTime")
+
+
 def limited_batches(requests: DataFrame, out: str, limit: int = vocab.LIMITER_LIMIT,
                     window_seconds: int = vocab.LIMITER_WINDOW_SECONDS, once: bool = True):
     """Decisions per micro-batch with the distributed operator, for very busy clients.

@@ -122,6 +122,63 @@ def test_json_layouts(spark, tmp_path):
     assert names == ["b", "a", "c"]
 
 
+ARRAYS = {
+    "plain": '[{"a":1},{"a":2}]', "spaced": ' \n[ {"a":1} ,\n\n {"a":2}\n] \n', "quoted": '[{"a":"}{]["},{"b":"\\\\"},{"c":"\\"}"}]',
+    "deep": '[{"a":{"b":[{"c":"}"},{}]}},{"a":[[{}]]}]', "mark": '\ufeff[{"a":1}]', "bare": "[1]", "tail": '[{"a":1},2]',
+    "head": '[2,{"a":1}]', "middle": '[{"a":1},[{"a":1}],{"a":1}]', "none": " [ ] ", "comma": '[{"a":1},]', "two": '[{"a":1}{"a":2}]',
+    "twocommas": '[{"a":1},,{"a":2}]', "first": '[,{"a":1}]', "open": '[{"a":1}', "more": '[{"a":1}]]', "brace": '[{"a":1}]}',
+    "object": '[{"a":1}] {"a":2}', "string": '[{"a":"x},{"a":2}]', "wrong": '[{"a":1],{"a":2}]', "gone": "[", "again": '[{"a":1,"a":2}]',
+    "escape": '[{"a":"\\}"}]', "word": '[{"a":nope}]', "null": '[null]', "long": '[{"a":"' + "x" * 3000 + '"},{"a":3}]'}
+
+
+@pytest.mark.parametrize("split", [None, 7, 40])
+def test_json_arrays_in_splits_of_any_size(spark, tmp_path, split):
+    """Rows and refusals are those of reading each text whole."""
+    folder = put(tmp_path, **{f"{k}__json": v for k, v in ARRAYS.items()})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        parsed = jsonlog.read(spark, folder)
+        wrong = by_source(parsed.errors, "problem")
+        got = {}
+        for r in parsed.records.orderBy("source_id", "block", "seq").collect():
+            got.setdefault(r["source_id"].rsplit("/", 1)[1], []).append(tuple(r["names"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        records.release()
+    for name, text in ARRAYS.items():
+        try:
+            whole = json.loads(text.lstrip("\ufeff"))
+        except ValueError:
+            assert wrong.get(f"{name}.json") == "not_valid_json", name
+            continue
+        if not whole:
+            assert wrong[f"{name}.json"] == "no_records"
+        elif not all(isinstance(x, dict) for x in whole):
+            assert wrong[f"{name}.json"] == "not_a_json_object", name
+        else:
+            assert f"{name}.json" not in wrong and got[f"{name}.json"] == [tuple(x) for x in whole], name
+
+
+def test_a_record_that_never_ends_refuses_its_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "RECORD_BYTES", 400)
+    rows = "".join(f"{k},x{k}\n" for k in range(200))
+    folder = put(tmp_path, good__csv="a,b\n" + rows + '1,"two\nlines"\n', open__csv='a,b\n1,"never closed\n' + rows)
+    parsed = csvlog.read(spark, f"{folder}/*.csv")
+    assert by_source(parsed.errors, "problem") == {"open.csv": "oversized_record"}
+    assert parsed.records.count() == 201
+    items = ",".join('{"a":%d}' % k for k in range(200))
+    put(tmp_path, good__json=f"[{items}]", unclosed__json='[{"a":"' + "},{" * 300, nobrace__json='[{"a":"' + "x" * 900 + '"},{"a":1}]',
+        row__json='{"a":"' + "x" * 900 + '"}\n{"a":1}\n')
+    parsed = jsonlog.read(spark, f"{folder}/*.json")
+    assert by_source(parsed.errors, "problem") == {n: "oversized_record" for n in (
+        "unclosed.json", "nobrace.json", "row.json")}
+    assert parsed.records.count() == 200
+
+
 def test_row_index_counts_across_splits(spark, tmp_path):
     rows = "\n".join(f"{i},{'x' * (i % 50)}" for i in range(20000))
     folder = put(tmp_path, big__csv="n,t\n" + rows + "\n", small__csv="n,t\n0,a\n1,b\n")
