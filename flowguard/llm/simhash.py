@@ -1,21 +1,22 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 Fingerprints: 64 bits by majority over the XXH64 of word shingles. Distinct fingerprints are
-entered in the index under masked bit patterns: its top nodes are three masks that share out the
-64 bits, so two fingerprints that differ in two bits at most meet under at least one node. Below
+entered in the index under masked bit patterns: its top nodes are ``most`` + 1 masks that share out the
+64 bits, so two fingerprints that differ in ``most`` bits at most meet under at least one node. Below
 a node they are sorted by Gray rank, which brings those with long shared patterns together, and
 the patterns shared by neighbours are factored into upper nodes level by level. A search walks down
 with the differences added up so far and drops a whole node as soon as they exceed the limit.
 
 A top node with more fingerprints than ``node_rows`` is not given to one task: its free bits are
-shared out over three masks again, which loses no pair by the same argument, until it is small
+shared out over as many masks again, which loses no pair by the same argument, until it is small
 enough; a node with ``f`` free bits holds ``2**f`` fingerprints at most, so this always ends.
 Tasks report a spanning forest of the links below a node, never all pairs; components are found
 by alternating star contractions over written edge tables.
 
 A null text counts as empty: fingerprint zero, linked like any other. Copies share a fingerprint.
-A row without doc_id is grouped too, but never names a group unless all rows of it lack the id.
-An empty table gives no rows. Other columns are not looked at.
+Nodes go by their fingerprint, so doc_id may be any long. A row without doc_id is grouped too, but never
+names a group unless all rows of it lack the id. A text of any length is read whole, its shingles
+hashed in blocks. An empty table gives no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from flowguard.llm.exact_dedup import keep_ids
 
 SEED = 42
 FAN_OUT = 8
-NO_ID = 1 << 62
 ALL_BITS = (1 << 64) - 1
 FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -124,10 +124,7 @@ def forest(ids: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.
     """(id, smallest id linked to it) for the fingerprints under one node."""
     turn = np.argsort(ids, kind="stable")
     ids, fps = ids[turn], fps[turn]
-    if len(ids) <= FAN_OUT:  # a lowest node by itself
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= most, 1))
-    else:
-        a, b = GrayIndex(fps).links(most)
+    a, b = GrayIndex(fps).links(most)
     if not len(a):
         return ids[:0], ids[:0]
     label = np.arange(len(ids))
@@ -146,10 +143,10 @@ def forest(ids: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return ids[moved], ids[label[moved]]
 
 
-def _thirds(mask: int) -> list[int]:
-    """The mask with each third of its free bits added."""
+def _shares(mask: int, count: int) -> list[int]:
+    """The mask with each of ``count`` shares of its free bits added."""
     free = [b for b in range(64) if not mask >> b & 1]
-    cuts = [round(len(free) * k / 3) for k in range(4)]
+    cuts = [round(len(free) * k / count) for k in range(count + 1)]
     return [mask | sum(1 << b for b in free[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
@@ -157,10 +154,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _under(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """Each row once under every third of its mask's free bits."""
+def _under(rows: DataFrame, masks: list[int], count: int) -> DataFrame:
+    """Each row once under every share of its mask's free bits."""
     choice = F.create_map(*(x for m in masks for x in (
-        F.lit(_signed(m)), F.array(*(F.lit(_signed(t)) for t in _thirds(m))))))
+        F.lit(_signed(m)), F.array(*(F.lit(_signed(t)) for t in _shares(m, count))))))
     return (rows.select("fp", "id", F.explode(choice[F.col("mask")]).alias("mask"))
             .select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("pattern"), "fp", "id"))
 
@@ -199,14 +196,12 @@ def _search(most: int):
 
 def links(nodes: DataFrame, most: int = 2, node_rows: int = 2048) -> DataFrame:
     """Spanning links (u, v), u > v, between ids of distinct fingerprints (``fp``, ``id``)."""
-    if most != 2:
-        raise ValueError("three masks hold for two differing bits")
     spark = nodes.sparkSession
     masks, found = [0], None
     rows = nodes.select(F.lit(0).cast("long").alias("mask"), "fp", "id")
     while True:
-        rows = _under(rows, masks)
-        masks = sorted({t for m in masks for t in _thirds(m)})
+        rows = _under(rows, masks, most + 1)
+        masks = sorted({t for m in masks for t in _shares(m, most + 1)})
         sizes = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n"))
         large = save(sizes.where(F.col("n") > node_rows), "large-nodes")
         small, any_large = rows, not large.isEmpty()
@@ -253,14 +248,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, width: int = 3, most: int = 2, node_rows: int = 2048) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = save(fingerprints(docs, width), "fingerprints")
-    named = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    # Without any doc_id the fingerprint stands in, above all real ids; the two bits it loses are
-    # no more than a link allows.
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned("fp", 2)
-    nodes = save(named.select("fp", F.coalesce("id", stand_in).alias("id")), "nodes")
-    roots = components(links(nodes, most, node_rows))
-    classes = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("root"))
-    classes = classes.select("fp", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    nodes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("id")), most, node_rows))
+    # The smallest doc_id of each component; only linked fingerprints take part in that.
+    linked = roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    named = linked.join(nodes, linked["id"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("of_all"))
+    groups = linked.join(named, "root").select(F.col("id").alias("fp"), "of_all", F.lit(True).alias("is_linked"))
+    classes = nodes.join(groups, "fp", "left").select("fp", F.when(
+        F.col("is_linked"), F.col("of_all")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
