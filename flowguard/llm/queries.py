@@ -37,7 +37,14 @@ def simhash_near_dedup(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-@query("op3_sharding")
+SHARD_SQL = f"""
+WITH slots AS (SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)
+  % {sharding.TABLE_SIZE} AS BIGINT) AS slot FROM documents),
+filled AS (SELECT {sharding.fill(SHARDS)} AS shards)
+SELECT doc_id, slot, shards[slot + 1] AS shard FROM slots, filled"""
+
+
+@query("op3_sharding", SHARD_SQL)
 def shard_documents(spark, sf_dir):
     """Shard of every document: doc_id, slot, shard."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)

@@ -66,15 +66,24 @@ def lookup(spark: SparkSession, table: list[int]) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), "shard")
 
 
+def _fresh(docs: DataFrame, count: int) -> list[str]:
+    """Column names that ``docs`` does not have, in any case of letters."""
+    taken, width = {c.lower() for c in docs.columns}, 1
+    while any(f"{'_' * width}{k}" in taken for k in range(count)):
+        width += 1
+    return [f"{'_' * width}{k}" for k in range(count)]
+
+
 def place(docs: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE,
           weights: list[float] | None = None, out: str = "shard", slot: str = "slot") -> DataFrame:
     """``docs`` with the columns ``slot`` and ``out``; columns of these names are replaced."""
+    own, shard, at = _fresh(docs, 3)
     table = lookup(docs.sparkSession, fill(shards, size, weights))
-    table = table.select(F.col("slot").alias("_slot_of_table"), F.col("shard").alias("_shard_of_table"))
+    table = table.select(F.col("slot").alias(own), F.col("shard").alias(shard))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (out, slot)]
-    rows = docs.select(*kept, slot_of(F.col(key), size).alias("_slot_of_row"))
-    return (rows.join(F.broadcast(table), F.col("_slot_of_row") == F.col("_slot_of_table"))
-            .select(*kept, F.col("_slot_of_row").alias(slot), F.col("_shard_of_table").alias(out)))
+    rows = docs.select(*kept, slot_of(F.col(f"`{key}`"), size).alias(at))
+    return (rows.join(F.broadcast(table), F.col(at) == F.col(own))
+            .select(*kept, F.col(at).alias(slot), F.col(shard).alias(out)))
 
 
 def write_shards(docs: DataFrame, path: str, key: str, shards: list[str], **options) -> None:
