@@ -210,8 +210,58 @@ def test_near_dedup_odd_input(odd, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+def test_near_dedup_ids_of_the_whole_range(spark):
+    """Ids as a 64-bit hash makes them, also below zero and at the ends."""
+    texts = [EN, EN, DE, DE, DE, None, "", "alone here", EN * 2, "one two"]
+    ids = [2**62, 2**63 - 1, 2**62 + 5, -2**63, 7, 2**62 + 1, 2**63 - 2, -5, None, None]
+    docs = spark.createDataFrame([(d, t, "x", "s", 1) for d, t in zip(ids, texts)], DOCS)
+    named = [(k, fingerprint(t)) for k, t in enumerate(texts)]
+    group = classes(named)
+    least = {g: min((ids[k] for k in group if group[k] == g and ids[k] is not None), default=None) for g in group.values()}
+    want = sorted(((ids[k], f"{p:016x}", least[group[k]]) for k, p in named), key=repr)
+    assert rows(simhash.near_dedup(docs)) == want
+    kept = sorted((r.doc_id for r in simhash.keep_one(docs).collect()), key=repr)
+    assert kept == sorted(least.values(), key=repr)
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 5])
+def test_links_at_any_distance(spark, most):
+    rng = random.Random(most)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(6)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f, f) for f in signed], "fp long, id long")
+    root = {r.id: r.root for r in simhash.components(simhash.links(nodes, most, node_rows=16)).collect()}
+    for a, x in zip(signed, fps):
+        reach, waiting = {a}, [x]
+        while waiting:
+            now = waiting.pop()
+            for b, y in zip(signed, fps):
+                if b not in reach and (now ^ y).bit_count() <= most:
+                    reach.add(b)
+                    waiting.append(y)
+        assert root.get(a, a) == min(reach)
+
+
+def test_every_pair_comes_through_the_index(monkeypatch):
+    walked, links = [], simhash.GrayIndex.links
+    monkeypatch.setattr(simhash.GrayIndex, "links", lambda self, most: walked.append(len(self.order)) or links(self, most))
+    for n in (2, 8, 9, 200):
+        fps = np.array([k % (n - 1) for k in range(n)], np.uint64) << np.uint64(8)
+        simhash.forest(np.arange(n), fps, 2)
+    assert walked == [2, 8, 9, 200]
+
+
 # --- sharding --------------------------------------------------------------
 
+def test_place_keeps_columns_of_any_name(spark):
+    names = ["_0", "_1", "__2", "slot", "_slot_of_table", "_slot_of_row", "_shard_of_table", "Shard.x"]
+    docs = spark.range(50).select("id", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    found = sharding.place(docs, "id", ["a", "b"])
+    assert found.columns == ["id", *[n for n in names if n != "slot"], "slot", "shard"] and found.count() == 50
+    assert found.select("_0", "_1", "__2", "`Shard.x`").distinct().collect() == [(0, 1, 2, 7)]
+
+
 def test_table_against_turns_in_full_order():
     shards, size = [f"s{k}" for k in range(7)], 101
     orders = [[(o + k * s) % size for k in range(size)] for o, s in (sharding._order(n, size) for n in shards)]
