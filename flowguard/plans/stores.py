@@ -21,7 +21,7 @@ FILES = 20
 
 
 def _file_number(path):
-    return F.regexp_extract(path, "k=([0-9]+)", 1).cast("bigint")
+    return F.nullif(F.regexp_extract(path, "k=([0-9]+)", 1), F.lit("")).cast("bigint")
 
 
 def _write_logs(spark, sf, folder: str) -> None:
@@ -103,7 +103,7 @@ def load_training_set(spark, sf):
 @query("capture_exclusions_read", views="capture_cells", oracle=CONVERTED_SQL + f"""
 , placed AS (SELECT source_id % {FILES} AS k, row_key, ROW_NUMBER() OVER (PARTITION BY source_id % {FILES} ORDER BY row_key) - 1 AS row_idx
   FROM capture_cells)
-SELECT k, row_idx, code FROM coded JOIN placed USING (row_key) WHERE code IS NOT NULL""")
+SELECT placed.k, row_idx, code FROM coded JOIN placed USING (row_key) WHERE code IS NOT NULL""")
 def capture_exclusions_read(spark, sf):
     """Rows left out of capture files, with their place in the file; written and read as a table."""
     folder = jobs.work_folder(spark)
@@ -137,7 +137,7 @@ def stored_reports(spark, sf):
     _reported(spark, sf, folder)
     file = F.regexp_extract(F.col("_metadata.file_path"), "bucket=([0-9]+)", 1).cast("int")
     exported = (spark.read.schema(sinks.EXPORT).option("header", "true").csv(f"{folder}/csv").where("ordinal = 1")
-                .select(F.col("value").alias("prediction_id"), file.alias("export_bucket")))
+                .select(F.col("value").alias("prediction_id"), file.alias("export_bucket")).distinct())
     rows = sinks.manifest(spark, folder).join(exported, "prediction_id")
     audit = spark.read.parquet(f"{folder}/audit").select("action_performed").distinct()
     documents = sinks.read_reports(spark, f"{folder}/json")[0].select(
@@ -151,7 +151,7 @@ def stored_reports(spark, sf):
 
 
 @query("missing_exports", views="predictions uploads", oracle=DOCS_SQL + f"""
-SELECT prediction_id, bucket FROM (SELECT prediction_id, {BUCKET_SQL} AS bucket FROM docs) WHERE bucket % 5 = 3""")
+SELECT prediction_id, bucket FROM (SELECT DISTINCT prediction_id, {BUCKET_SQL} AS bucket FROM docs) WHERE bucket % 5 = 3""")
 def missing_exports(spark, sf):
     """Reports whose export is gone: the last run wrote none for a fifth of the buckets."""
     folder = jobs.work_folder(spark)
