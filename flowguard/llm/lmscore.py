@@ -3,6 +3,8 @@
 A bigram model of the target rows and one of all rows are counted in the same pass, over the same
 shared vocabulary, with the same order and smoothing. A document's score is the mean over its tokens
 of the target model's loss less the background model's loss: the lower, the more like the target.
+A document is judged by the others: its own words and pairs are taken out of both models first, so the score
+tells likeness and not who was labelled.
 
 Counts are of true words and pairs, in tables that grow with the corpus; hashes only choose who adds up
 a word or a pair. Tasks cut their rows into blocks of ``BLOCK_BYTES`` of text and add up within a block,
@@ -14,9 +16,11 @@ A word has probability (n + 1) / (tokens + vocabulary), where the vocabulary cou
 it has fewer; what no word takes is left to unseen ones. After a word seen n times another that follows it
 k times has (k + PRIOR * P(word)) / (n + PRIOR). Both add up to 1 at most.
 
-Words are lower-cased runs of non-blanks; a bigram never spans documents. A null or empty text
-has no tokens, and null losses. Rows whose doc_id is null are never target rows. Without any target
-row the target model is uniform. Repeated labels count once. Other columns are not looked at.
+Words are runs of non-blanks with A-Z lower-cased; a bigram never spans documents. A null or empty text
+has no tokens, and null losses. Rows whose doc_id is null are never target rows. Without any other target
+row the target model is uniform. Repeated labels count once, repeated rows are documents of their own and
+stay in each other's models; equal texts in the same models have equal scores. A text longer than a block is
+a block by itself. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -215,12 +219,23 @@ def count_pairs(words: DataFrame, owners: int) -> DataFrame:
     return save(_by(sent, "owner").applyInArrow(add, SUMMED_SQL), "lm-pairs")
 
 
+def _own(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each (text, key) how often it occurs."""
+    _, at, count = np.unique(text * (int(keys.max(initial=0)) + 1) + keys, return_inverse=True, return_counts=True)
+    return count[at]
+
+
 def losses(words: np.ndarray, tokens: np.ndarray, pairs: np.ndarray, second: np.ndarray, at: np.ndarray,
-           total: int, vocabulary: int) -> np.ndarray:
-    """Loss of each token: a text's first by its own frequency, others given the word before."""
-    single = (words + 1.0) / (total + vocabulary)
-    out = -np.log(single[tokens])
-    out[second] = -np.log((pairs[at] + PRIOR * single[tokens[second]]) / (words[tokens[second - 1]] + PRIOR))
+           total: int, vocabulary: int, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Loss of each token: a text's first by its own frequency, others given the word before.
+
+    ``own``: what the token's text has itself of its word, of its pair and of tokens in this model.
+    """
+    own_words, own_pairs, own_tokens = own
+    left = words[tokens] - own_words
+    single = (left + 1.0) / (total - own_tokens + vocabulary)
+    out = -np.log(single)
+    out[second] = -np.log((pairs[at] - own_pairs + PRIOR * single[second]) / (left[second - 1] + PRIOR))
     return out
 
 
@@ -234,11 +249,14 @@ def score(words: DataFrame, pairs: DataFrame, owners: int) -> DataFrame:
         pieces = table.to_pylist()
         ids, n, n_target = _columns([r for r in pieces if not r["pair"]], "keys", "n", "n_target")
         both, both_target = _columns([r for r in pieces if r["pair"]], "n", "n_target")
-        docs, _, counts, tokens = block(pieces[0]["path"])
+        docs, target, counts, tokens = block(pieces[0]["path"])
         second, _, _, at = _pairs(ids, counts, tokens, owners)
         owner, means = np.repeat(np.arange(len(counts)), counts), []
-        for single, pair, size in ((n_target, both_target, total_target), (n, both, total)):
-            out = losses(single, tokens, pair, second, at, size, vocabulary)
+        own = _own(owner, tokens), _own(owner[second], at), counts[owner]
+        there = target[owner]  # rows that are no target rows have nothing of their own in its model
+        in_target = own[0] * there, own[1] * there[second], own[2] * there
+        for single, pair, size, mine in ((n_target, both_target, total_target, in_target), (n, both, total, own)):
+            out = losses(single, tokens, pair, second, at, size, vocabulary, mine)
             means.append(np.bincount(owner, out, len(counts)) / np.maximum(counts, 1))
         return pa.Table.from_batches([rows_batch({"doc_id": docs, "n_tokens": counts} | {
             c: pa.array(m, mask=counts == 0) for c, m in zip(("ce_target", "ce_background"), means)}, SCORED)])

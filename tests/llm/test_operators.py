@@ -114,9 +114,21 @@ def test_lm_scoring_is_the_mean_of_token_losses(spark):
             out.append(-np.log(single if not k else (pairs.count((before, w)) + lmscore.PRIOR * single)
                                / (flat.count(before) + lmscore.PRIOR)))
         return np.mean(out)
-    for k, t in enumerate(texts):
-        assert got[k].ce_background == pytest.approx(loss(t.split(), texts), rel=1e-5)
-        assert got[k].ce_target == pytest.approx(loss(t.split(), texts[:1]), rel=1e-5)
+    for k, t in enumerate(texts):  # each by the other documents
+        assert got[k].ce_background == pytest.approx(loss(t.split(), texts[:k] + texts[k + 1:]), rel=1e-5)
+        assert got[k].ce_target == pytest.approx(loss(t.split(), texts[:1] if k else []), rel=1e-5)
+
+
+def test_lm_scoring_does_not_tell_who_was_labelled(spark):
+    """With target rows drawn at random the score tells nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    drawn = random.Random(4).sample(sorted(r.doc_id for r in docs.select("doc_id").collect()), docs.count() // 5)
+    wanted = docs.where(F.col("doc_id").isin(drawn))
+    found = [(r.score, r.doc_id in set(drawn)) for r in lmscore.cross_entropy_difference(docs, wanted).collect()
+             if r.score is not None]
+    low, high = [s for s, hit in found if hit], [s for s, hit in found if not hit]
+    auc = np.mean([(a < np.array(high)).mean() + (a == np.array(high)).mean() / 2 for a in low])
+    assert 0.45 <= auc <= 0.55
 
 
 def test_lm_scoring_counts_true_words_and_pairs(spark):
@@ -130,10 +142,13 @@ def test_lm_scoring_counts_true_words_and_pairs(spark):
         models.append((Counter(w for t in own for w in t), Counter(p for t in own for p in zip(t, t[1:]))))
     vocabulary = max(lmscore.WORDS, len(models[1][0]))
 
-    def model(words, pairs):
-        size = sum(words.values())
-        return lambda w, before=None: (words[w] + 1) / (size + vocabulary) if before is None else (
-            pairs[before, w] + lmscore.PRIOR * (words[w] + 1) / (size + vocabulary)) / (words[before] + lmscore.PRIOR)
+    def model(words, pairs, text=()):
+        own, both, size = Counter(text), Counter(zip(text, text[1:])), sum(words.values()) - len(text)
+
+        def single(w):
+            return (words[w] - own[w] + 1) / (size + vocabulary)
+        return lambda w, before=None: single(w) if before is None else (
+            pairs[before, w] - both[before, w] + lmscore.PRIOR * single(w)) / (words[before] - own[before] + lmscore.PRIOR)
     p = [model(*m) for m in models]
     for before in random.Random(1).sample(sorted(models[1][0]), 8) + [models[1][0].most_common(1)[0][0]]:
         for k in range(2):
@@ -141,7 +156,8 @@ def test_lm_scoring_counts_true_words_and_pairs(spark):
     found = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, good).collect()}
     for d, t in texts:
         if t:
-            want = [np.mean([-np.log(q(w, t[k - 1] if k else None)) for k, w in enumerate(t)]) for q in p]
+            by = (model(*models[0], t if d in wanted else ()), model(*models[1], t))
+            want = [np.mean([-np.log(q(w, t[k - 1] if k else None)) for k, w in enumerate(t)]) for q in by]
             assert (found[d].ce_target, found[d].ce_background) == pytest.approx(want, rel=1e-9)
 
 
