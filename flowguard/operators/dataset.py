@@ -120,8 +120,13 @@ def merged_completeness(per_source: DataFrame) -> DataFrame:
         F.min(F.when(F.col("truncated"), F.col("source_id"))).alias("first_truncated"))
 
 
-def require_complete(completeness: Completeness, allow_incomplete: bool = False) -> None:
-    if not completeness.complete and not allow_incomplete:
+def require_complete(completeness: Completeness | None, allow_incomplete: bool = False) -> None:
+    """Refuse a set that lacks rows, or of which nothing says that it lacks none."""
+    if allow_incomplete:
+        return
+    if completeness is None:
+        raise DatasetRefused("nothing says whether the set is complete")
+    if not completeness.complete:
         raise DatasetRefused("the set lacks rows of its sources: "
                              + "; ".join(completeness.reasons or completeness.truncated))
 

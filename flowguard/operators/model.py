@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 from dataclasses import asdict, dataclass, field
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -84,10 +86,13 @@ def forest(trees: int = TREES, seed: int = SEED, depth: int = 5) -> RandomForest
 def train(examples: DataFrame, model_name: str = FOREST, estimator=None,
           completeness: dataset.Completeness | None = None, allow_incomplete: bool = False,
           trees: int = TREES, seed: int = SEED) -> tuple[PipelineModel, dict]:
-    """Fit on a checked set; returns the model and what the run was."""
+    """Fit on a checked set; returns the model and what the run was.
+
+    A set of which nothing says that it is complete is refused like one that is not.
+    """
     if model_name != FOREST:
         raise ModelRefused(f"no estimator for {model_name!r}; only {FOREST!r} can be trained")
-    dataset.require_complete(completeness or dataset.Completeness(), allow_incomplete)
+    dataset.require_complete(completeness, allow_incomplete)
     examples = examples.persist()  # checks, weights and fit each pass over it
     try:
         checks = dataset.validate(examples)
@@ -98,7 +103,7 @@ def train(examples: DataFrame, model_name: str = FOREST, estimator=None,
     run = {"model_name": model_name, "version": "1", "feature_order": list(vocab.FEATURES),
            "classes": [r["label"] for r in counts], "rows_trained": checks["n_rows"],
            "class_counts": {r["label"]: r["n_rows"] for r in counts},
-           "dataset_complete": (completeness or dataset.Completeness()).complete}
+           "dataset_complete": completeness is not None and completeness.complete}
     return model, run
 
 
@@ -136,39 +141,50 @@ def best_class(probabilities: Column) -> tuple[Column, Column]:
     return F.array_position(probabilities, top).cast("int") - 1, top
 
 
+def class_masses(code: Column, probability: Column) -> list[Column]:
+    """Winning probability added up for each class: eight sums of fixed width."""
+    return [F.sum(F.when(code == k, probability)).alias(f"mass_{k}") for k in range(len(vocab.TRAINABLE))]
+
+
+def heaviest() -> tuple[Column, Column]:
+    """Class and share of ``row_count`` of the largest mass; the lowest code wins ties."""
+    masses = F.array(*[F.coalesce(F.col(f"mass_{k}"), F.lit(-1.0)) for k in range(len(vocab.TRAINABLE))])
+    top = F.array_max(masses)
+    return labels.class_of_code(F.array_position(masses, top).cast("int") - 1), top / F.col("row_count")
+
+
 def roll_up(scored: DataFrame, keys=("source_id",)) -> DataFrame:
     """One class per source: the most winning probability, as a share of its rows."""
-    keys = list(keys)
     code, top = best_class(F.col("probabilities"))
-    by_class = scored.select(*keys, code.alias("code"), top.alias("p")).groupBy(
-        *keys, "code").agg(F.sum("p").alias("mass"), F.count(F.lit(1)).alias("n"))
-    best = F.max(F.struct(F.col("mass"), (-F.col("code")).alias("neg"))).alias("best")
-    out = by_class.groupBy(*keys).agg(best, F.sum("n").alias("row_count"))
-    return out.select(*keys, labels.class_of_code(-F.col("best.neg")).alias("attack_type"),
-                      (F.col("best.mass") / F.col("row_count")).alias("confidence"), "row_count")
+    won = scored.select(*keys, code.alias("code"), top.alias("p"))
+    out = won.groupBy(*keys).agg(*class_masses(F.col("code"), F.col("p")), F.count(F.lit(1)).alias("row_count"))
+    attack, confidence = heaviest()
+    return out.select(*keys, attack.alias("attack_type"), confidence.alias("confidence"), "row_count")
 
 
-def with_fallback(model_verdicts: DataFrame, rule_verdicts: DataFrame,
-                  floor: float = vocab.MODEL_FLOOR, metadata: Metadata | None = None) -> DataFrame:
-    """The model's verdict where it is sure enough, else the rules'; the detail names the model."""
+def _decided(floor: float, metadata: Metadata | None) -> dict[str, Column]:
+    """Verdict columns from the rules' and the model's (``model_*``); the detail names the model."""
     metadata = metadata or Metadata()
-    m = model_verdicts.select("source_id", F.col("attack_type").alias("model_attack"),
-                              F.col("confidence").alias("model_confidence"), F.col("row_count").alias("model_rows"))
+    sure = F.coalesce(F.col("model_confidence") >= floor, F.lit(False))
     by = F.format_string("%s version %s on %d rows", F.lit(metadata.model_name), F.lit(metadata.version),
                          F.col("model_rows"))
-    both = rule_verdicts.join(m, "source_id", "left")
-    sure = F.coalesce(F.col("model_confidence") >= floor, F.lit(False))
     detail = (F.when(sure, by)
               .when(F.col("model_attack").isNotNull(), F.format_string(
                   f"%s at %.3f is below {floor:.3f} and said %s; rules decide",
                   by, F.col("model_confidence"), F.col("model_attack")))
               .otherwise(F.array_join("matched_rules", "; ")))
-    return both.select(
-        "source_id", F.when(sure, F.col("model_attack")).otherwise(F.col("attack_type"))
-        .alias("attack_type"),
-        F.when(sure, F.col("model_confidence")).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(sure, F.lit("model")).otherwise(F.lit("rules")).alias("decided_by"),
-        detail.alias("detail"))
+    return {"attack_type": F.when(sure, F.col("model_attack")).otherwise(F.col("attack_type")),
+            "confidence": F.when(sure, F.col("model_confidence")).otherwise(F.col("confidence")),
+            "decided_by": F.when(sure, F.lit("model")).otherwise(F.lit("rules")), "detail": detail}
+
+
+def with_fallback(model_verdicts: DataFrame, rule_verdicts: DataFrame,
+                  floor: float = vocab.MODEL_FLOOR, metadata: Metadata | None = None) -> DataFrame:
+    """The model's verdict where it is sure enough, else the rules'."""
+    m = model_verdicts.select("source_id", F.col("attack_type").alias("model_attack"),
+                              F.col("confidence").alias("model_confidence"), F.col("row_count").alias("model_rows"))
+    both = rule_verdicts.join(m, "source_id", "left")
+    return both.select("source_id", *(c.alias(n) for n, c in _decided(floor, metadata).items()))
 
 
 def sources_with_gaps(flows: DataFrame) -> DataFrame:
@@ -178,26 +194,45 @@ def sources_with_gaps(flows: DataFrame) -> DataFrame:
             .where(F.col("rows_with_gaps") > 0))
 
 
-def classify(flows: DataFrame, model: Model | None, floor: float = vocab.MODEL_FLOOR):
+def judge(flows: DataFrame, fitted: Model, floor: float = vocab.MODEL_FLOOR,
+          metadata: Metadata | None = None) -> DataFrame:
+    """Verdict and ``rows_with_gaps`` of every source out of one scan and one aggregate.
+
+    Gap counts, the rules' summary and the class masses are added up together. Rows with gaps are scored
+    with zeros, so that all rows take one path, and left out of the masses; their source has no verdict.
+    """
+    gap = F.size(dataset.missing_features()) > 0
+    filled = F.array(*[F.coalesce(F.col(f), F.lit(0.0)) for f in vocab.FEATURES]).cast("array<float>")
+    scored = score(fitted, flows.select("source_id", "label", *vocab.FEATURES, gap.alias("gap"), filled.alias("features")))
+    code, top = best_class(F.col("probabilities"))
+    rows = scored.select("source_id", "label", *vocab.FEATURES, "gap", code.alias("code"), top.alias("p"))
+    sums = rows.groupBy("source_id").agg(
+        *detect.feature_aggregates(), *detect.label_aggregates(), F.count_if("gap").alias("rows_with_gaps"),
+        *class_masses(F.col("code"), F.when(~F.col("gap"), F.col("p"))))
+    attack, confidence = heaviest()
+    both = detect.add_verdict(sums).withColumns({"model_attack": attack, "model_confidence": confidence,
+                                                 "model_rows": F.col("row_count")})
+    both = both.select("source_id", "rows_with_gaps", *(F.when(F.col("rows_with_gaps") == 0, c).alias(n)
+                                                       for n, c in _decided(floor, metadata).items()))
+    return both
+
+
+def classify(flows: DataFrame, model: Model | None, floor: float = vocab.MODEL_FLOOR,
+             metadata: Metadata | None = None):
     """Verdicts of all judgeable sources, and the sources refused for gaps.
 
     Without a model the rules judge every source.
     """
-    rules = detect.detect(flows)
     if model is None:
         empty = flows.select("source_id").limit(0).withColumn(
             "rows_with_gaps", F.lit(0).cast("bigint"))
-        out = rules.select("source_id", "attack_type", "confidence",
-                           F.lit("rules").alias("decided_by"),
-                           F.array_join("matched_rules", "; ").alias("detail"))
+        out = detect.detect(flows).select("source_id", "attack_type", "confidence",
+                                          F.lit("rules").alias("decided_by"),
+                                          F.array_join("matched_rules", "; ").alias("detail"))
         return out, empty
-    gaps = sources_with_gaps(flows)
-    whole = flows.join(gaps.select("source_id"), "source_id", "left_anti")
-    rows = whole.select("source_id", F.array(*vocab.FEATURES).cast("array<float>")
-                        .alias("features"))
-    verdicts = with_fallback(roll_up(score(model, rows)),
-                             rules.join(gaps.select("source_id"), "source_id", "left_anti"), floor)
-    return verdicts, gaps
+    judged = judge(flows, model, floor, metadata)
+    return (judged.where("rows_with_gaps = 0").drop("rows_with_gaps"),
+            judged.where("rows_with_gaps > 0").select("source_id", "rows_with_gaps"))
 
 
 # --- storage ---------------------------------------------------------------
@@ -230,6 +265,53 @@ def load(spark: SparkSession, path: str, version: str | None = None):
     return PipelineModel.load(f"{path}/model"), metadata
 
 
+def _markers(spark: SparkSession, registry: str):
+    """File system, registry path and the published versions, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(registry)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    return store, path, sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+
+def current_version(spark: SparkSession, registry: str) -> int:
+    """Newest published version; 0 if there is none."""
+    return max(_markers(spark, registry)[2], default=0)
+
+
+def publish(spark: SparkSession, fitted: PipelineModel, registry: str, expected: int,
+            model_name: str = FOREST) -> int:
+    """Make a model the newest version, if ``expected`` still is; otherwise it is refused.
+
+    The model is written whole first. A version is then one small file that is only made where there is none,
+    so of two writers that saw the same version one wins, and readers never see half a model.
+    """
+    version = expected + 1
+    if current_version(spark, registry) != expected:
+        raise ModelRefused(f"version {current_version(spark, registry)} is published, expected {expected}")
+    folder = f"{registry}/models/{uuid.uuid4().hex}"
+    save(spark, fitted, folder, Metadata(model_name=model_name, version=str(version)))
+    store, path, _ = _markers(spark, registry)
+    try:
+        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(path, f"v-{version}"), False)
+    except Py4JJavaError as exc:
+        raise ModelRefused(f"version {version} was published meanwhile") from exc
+    try:
+        out.write(bytearray(folder.encode()))
+    finally:
+        out.close()
+    return version
+
+
+def load_version(spark: SparkSession, registry: str, version: int | None = None):
+    """Model and metadata of a published version, the newest by default."""
+    version = version or current_version(spark, registry)
+    try:
+        folder = spark.read.text(f"{registry}/v-{version}").first()["value"]
+    except Exception as exc:
+        raise ModelRefused(f"no version {version} in {registry}") from exc
+    return load(spark, folder, str(version))
+
+
 def load_or_none(spark: SparkSession, path: str):
     """The stored model, or None so that the rules judge alone."""
     try:
@@ -254,8 +336,10 @@ def estimators(trees: int = 96, seed: int = SEED, depth: int = 5) -> dict:
     }
 
 
-def compare(training: DataFrame, test: DataFrame, candidates: dict | None = None) -> list[dict]:
-    """Fit every candidate on the same rows and measure it on the same rows."""
+def compare(training: DataFrame, test: DataFrame, candidates: dict | None = None,
+            completeness: dataset.Completeness | None = None, allow_incomplete: bool = False) -> list[dict]:
+    """Fit every candidate on the same rows and measure it on the same rows; gated like ``train``."""
+    dataset.require_complete(completeness, allow_incomplete)
     train_rows, test_rows = prepared(training).cache(), prepared(test, weighted=False).cache()
     out = []
     try:
@@ -283,13 +367,15 @@ def trials(count: int, seed: int = SEED) -> list[dict]:
 
 
 def search(examples: DataFrame, fold: Column, count: int = 50, folds: int = FOLDS, seed: int = SEED,
-           keep: int = 3, parallel: int = 4) -> list[dict]:
-    """Successive halving over folds: a row for each trial and rung.
+           keep: int = 3, parallel: int = 4, completeness: dataset.Completeness | None = None,
+           allow_incomplete: bool = False) -> list[dict]:
+    """Successive halving over folds: a row for each trial and rung; gated like ``train``.
 
     In rung k every trial left is fitted on all rows but those of fold k and judged on these; the best
     ``1 / keep`` by mean F1 over the folds so far go on, two at least, so the last are compared on all
     folds. ``fold`` is a column of the rows, 0 to ``folds`` - 1.
     """
+    dataset.require_complete(completeness, allow_incomplete)
     judge = MulticlassClassificationEvaluator(labelCol="target", metricName="f1")
     rows = prepared(examples.withColumn("fold", fold)).cache()
     left, scores, out = list(enumerate(trials(count, seed))), {}, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowguard import vocab
-from flowguard.operators import limiter
+from flowguard.operators import dataset, limiter
 from flowguard.plans import traffic
 from flowguard.plans.detection import VERDICT_SQL
 from flowguard.plans.readers import CAPTURE_HEADERS, FLOW_COLUMNS, HAS_CELL, SPELLINGS, write_csv
@@ -77,9 +77,8 @@ def detect_uploads(spark, sf):
     status = F.when(k % 5 < 3, "completed").when(k % 5 == 3, "processing").otherwise("failed")
     uploads = landing.files(spark, folder).select(k.alias("id"), F.col("path").alias("file_path"), status.alias("upload_status"))
     gone = spark.range(1).select(F.lit(-1).cast("bigint"), F.lit(f"{folder}/gone.csv"), F.lit("completed"))
-    found, refused = load.detect_uploads(spark, uploads.union(gone), csv_paths=[folder])
-    return found.withColumn("matched_rules", F.array_join("matched_rules", "; ")).drop("created_at").unionByName(
-        refused, allowMissingColumns=True)
+    out = load.upload_outcomes(spark, uploads.union(gone), csv_paths=[folder])
+    return out.withColumn("matched_rules", F.array_join("matched_rules", "; "))
 
 
 @query("load_training_set", views="capture_cells", oracle=CONVERTED_SQL + "".join(f"""
@@ -100,6 +99,21 @@ def load_training_set(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query("training_manifest", views="capture_cells", oracle=CONVERTED_SQL + """
+SELECT t.k AS label_code, COUNT(*) FILTER (WHERE used.label_code = t.k) AS n_rows, COUNT(*) AS n_all, TRUE AS complete,
+  CAST(SUM(CAST('0x' || substr(md5(row_key), 1, 8) AS BIGINT)) AS BIGINT) AS digest
+FROM used, (SELECT unnest(range(0, 8)) AS k) t GROUP BY 1""")
+def training_manifest(spark, sf):
+    """The manifest of a written training set, which reading it again confirms."""
+    folder = jobs.work_folder(spark)
+    sinks.write_training_set(example_rows(spark, sf), folder, dataset.Completeness())
+    _, completeness = sinks.read_training_set(spark, folder)
+    said = spark.read.schema(sinks.MANIFEST).json(f"{folder}/manifest")
+    return said.select(F.posexplode("class_rows").alias("label_code", "n_rows"), F.col("n_rows").alias("n_all"),
+                       F.lit(completeness.complete).alias("complete"), "digest").select(
+        F.col("label_code").cast("bigint").alias("label_code"), "n_rows", "n_all", "complete", "digest")
+
+
 @query("capture_exclusions_read", views="capture_cells", oracle=CONVERTED_SQL + f"""
 , placed AS (SELECT source_id % {FILES} AS k, row_key, ROW_NUMBER() OVER (PARTITION BY source_id % {FILES} ORDER BY row_key) - 1 AS row_idx
   FROM capture_cells)
