@@ -7,15 +7,20 @@ Boosted trees judge the looser ones by format and context features; a threshold
 on candidates kept back from the fit decides. Base spans that pass their checks are always kept,
 added ones may not overlap a kept one of their kind.
 
-The model learns from a sample of ``sample_docs`` documents, chosen by a hash of the id: base
-matches that pass their checks are positive, those that fail and loose candidates that contradict a
-check (``may_be``: digit counts, check digit, number range, form of a domain) negative, and half of the
-positives are shown in a loose spelling, as their text would look there. Loose candidates that pass may
-be personal data or not, so they teach nothing. Every text is searched whole.
+A loose candidate that contradicts its kind's check (``may_be``: digit counts, check digit, number range,
+form of a domain) is none. The model learns from a sample of ``sample_docs`` documents, chosen by a hash of
+the id. Positive are base matches that pass their checks, half of them shown in a loose spelling. Negative
+are base matches that fail, those of one kind as candidates of the others, and decoys that pass a check,
+put at other places of the same text: dates, order and book numbers, numbered lists, a verb before a
+domain. Loose candidates of the texts may be personal data or not: they are unlabelled, and count as
+negative with a small weight that many positives outvote. Thresholds are set on labelled examples kept
+back. Every text is searched whole.
 
 Nulls count as empty text; every row gives one row, also rows that repeat an id. Texts without
-candidates have counts of 0. Without positive examples in the sample nothing is added to the base.
-Empty tables give no rows. Other columns are not looked at.
+candidates have counts of 0; a text of any length is searched from end to end, in memory of its size. Of
+overlapping added spans that with the higher margin stays, then the lower kind and place. Without
+positive examples in the sample nothing is added to the base. Empty tables give no rows. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -37,7 +42,9 @@ SPANS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KIN
                    ("base_sha256", pa.string()), ("spans", pa.string())])
 SPANS_SQL = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
              "base_sha256 string, spans string")
-EXAMPLES = pa.schema([("kind", pa.int32()), ("label", pa.int32()), ("features", pa.list_(pa.float64()))])
+EXAMPLES = pa.schema([("kind", pa.int32()), ("label", pa.int32()), ("weight", pa.float64()),
+                      ("features", pa.list_(pa.float64()))])
+UNLABELLED = 0.05  # weight of a candidate of which nothing is known
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -163,20 +170,51 @@ def _spelled(kind: int, span: str) -> str:
     return f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}" if len(digits) >= 10 else digits
 
 
-def examples(text: str) -> Iterator[tuple[int, int, list[float]]]:
-    """(kind, label, features) that a text teaches."""
+def _decoys(kind: int, span: str, draw: int) -> Iterator[tuple[int, str]]:
+    """(kind, text) of what looks like a kind and passes its check, but is something else."""
+    digits = f"{draw % 10**18:018d}"
+    if kind == 0:
+        verb = ("look", "arrive", "buy", "stay", "meet")[draw % 5]
+        yield 0, f"{verb} at {span.split('@')[-1]}"
+        return
+    if kind == 1:
+        yield 1, ". ".join(str(draw // 7 % 9 + k) for k in range(4))
+        return
+    year, month, day, hour = 1950 + draw % 100, draw // 7 % 12 + 1, draw // 11 % 28 + 1, draw // 13 % 24
+    yield 3, f"{year}-{month:02d}-{day:02d} {hour:02d}"
+    yield 3, f"{day:02d}.{month:02d}.{year} {hour:02d}:{draw % 60:02d}"[:13] + digits[:2]
+    yield 3, digits[:9 + draw % 6]  # an order number
+    yield 3, f"978-{digits[0]}-{digits[1:4]}-{digits[4:9]}-{digits[9]}"
+    body = "978" + digits[:9]
+    book = next(body + str(c) for c in range(10) if luhn(body + str(c)))
+    yield 2, f"{book[:3]}-{book[3]}-{book[4:7]}-{book[7:12]}-{book[12]}"
+    body = digits[:13]
+    yield 2, next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+
+def examples(text: str) -> Iterator[tuple[int, int, float, list[float]]]:
+    """(kind, label, weight, features) that a text teaches."""
     taken = []
     for k, s, e, good in base_matches(text):
         if not good and e - s < 4:
             continue
         taken.append((k, s, e))
-        yield k, int(good), features(text, k, s, e)
-        if good:
-            yield k, 1, features(text, k, s, e, _spelled(k, text[s:e]))
-    for k, s, e in loose_matches(text):
-        if any(a < e and s < b for _, a, b in taken) or may_be(k, text[s:e]):
+        yield k, int(good), 1.0, features(text, k, s, e)
+        if not good:
             continue
-        yield k, 0, features(text, k, s, e)
+        span = text[s:e]
+        yield k, 1, 1.0, features(text, k, s, e, _spelled(k, span))
+        for other in (1, 2, 3):
+            if k and other != k and may_be(other, span):
+                yield other, 0, 1.0, features(text, other, s, e)
+        draw = int.from_bytes(hashlib.md5(f"{s} {span}".encode()).digest()[:7], "big")
+        for j, (other, shown) in enumerate(_decoys(k, span, draw)):
+            place = text.find(" ", (draw >> j) % len(text)) + 1
+            if may_be(other, shown) and not any(a <= place + CONTEXT and place <= b + CONTEXT for _, a, b in taken):
+                yield other, 0, 1.0, features(text, other, place, place, shown)
+    for k, s, e in loose_matches(text):
+        if not any(a < e and s < b for _, a, b in taken) and may_be(k, text[s:e]):
+            yield k, 0, UNLABELLED, features(text, k, s, e)
 
 
 @dataclass
@@ -200,17 +238,19 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2) -> Trees:
-    """Logistic boosting with histogram splits on a bounded sample."""
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, depth: int = 4,
+          rate: float = 0.2) -> Trees:
+    """Logistic boosting with histogram splits on a bounded, weighted sample."""
+    weight = np.ones(len(y)) if weight is None else weight
     inner, leaves = 2 ** depth - 1, 2 ** depth
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1], method="lower")) for c in x.T]
     bins = np.stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T)], 1)
-    p0 = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    p0 = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
     bias, made = float(np.log(p0 / (1 - p0))), []
     margin = np.full(len(y), bias)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         column, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(y), np.int64)
         for k in range(inner):
@@ -244,7 +284,7 @@ def calibrate(trees: Trees, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, pre
 
 
 def train(docs: DataFrame, sample_docs: int = 20_000, most_examples: int = 40_000,
-          precision: float = 0.995) -> Trees | None:
+          precision: float = 0.98) -> Trees | None:
     """Fit and calibrate on at most ``most_examples`` examples of the sampled documents."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,15 +292,17 @@ def train(docs: DataFrame, sample_docs: int = 20_000, most_examples: int = 40_00
             if found:
                 yield rows_batch(dict(zip(EXAMPLES.names, zip(*found))), EXAMPLES)
     sample = hash_sample(docs.select("doc_id", "text"), "doc_id", sample_docs, docs.count(), "pii")
-    found = (sample.select("text").mapInArrow(work, "kind int, label int, features array<double>")
+    found = (sample.select("text").mapInArrow(work, "kind int, label int, weight double, features array<double>")
              .orderBy(F.xxhash64("kind", "label", "features"), "kind", "label", "features")
              .limit(most_examples).collect())
     y = np.array([r["label"] for r in found], float)
     if not len(y) or y.min() == y.max():
         return None
     x, kinds = np.array([r["features"] for r in found]), np.array([r["kind"] for r in found])
+    weight = np.array([r["weight"] for r in found])
     back = np.arange(len(y)) % 3 == 0
-    trees = boost(x[~back], y[~back])
+    trees = boost(x[~back], y[~back], weight[~back])
+    back &= weight == 1
     calibrate(trees, x[back], y[back], kinds[back], precision)
     return trees
 
@@ -270,7 +312,7 @@ def find(text: str, trees: Trees | None) -> tuple[list[tuple], list[tuple]]:
     base = sorted((s, k, e) for k, s, e, good in base_matches(text) if good)
     if trees is None:
         return base, []
-    loose = [(k, s, e) for k, s, e in loose_matches(text) if trees.threshold[k] < np.inf]
+    loose = [(k, s, e) for k, s, e in loose_matches(text) if trees.threshold[k] < np.inf and may_be(k, text[s:e])]
     # Digits that make a number of one base kind are no candidate of another.
     loose = [c for c in loose if not any(s < c[2] and c[1] < e for s, _, e in base)]
     if not loose:
