@@ -588,14 +588,69 @@ def test_pii_keeps_base_and_redacts(spark, odd, none):
     assert pii.detect(none, pii.train(none)).count() == 0
 
 
-def test_loose_candidates_are_negative_only_by_a_check():
-    def labels(text):
-        return {(k, y) for k, y, _ in pii.examples(text)}
-    assert labels("write to bob at site dot com today") == labels("from 10 . 0 . 3 . 1 on") == set()
-    assert labels("write to bob at site dot com. Thanks") == set()
-    assert labels("we met at noon. Then it rained") == {(0, 0)}
-    assert labels("from 10 . 0 . 300 . 1 on") == {(1, 0)}
-    assert labels("12/34/56/78") == {(2, 0), (3, 0)}  # too few digits for either
+def test_what_loose_candidates_teach():
+    def taught(text):
+        return {(k, y, w) for k, y, w, _ in pii.examples(text)}
+    weak = pii.UNLABELLED
+    assert taught("write to bob at site dot com today") == {(0, 0, weak)}  # it may be one
+    assert taught("from 10 . 0 . 3 . 1 on") == {(1, 0, weak)}
+    for text in ("we met at noon. Then it rained", "from 10 . 0 . 300 . 1 on", "12/34/56/78"):
+        assert taught(text) == set()  # a check rules these out, here and in a search
+    mail = taught("write to bob@site.com today and see what they say about all of this some time")
+    assert (0, 1, 1.0) in mail and (0, 0, 1.0) in mail  # shown as it is and spelled out, and a decoy
+    card = taught("pay with 4111 1111 1111 1111 now, they said, and wait for what may come of all of this")
+    assert {(2, 1, 1.0), (3, 0, 1.0), (2, 0, 1.0)} <= card
+
+
+def planted_person(rng, spelled):
+    """A text and the span planted in it, of a kind by turns; in base form or as a looser writer puts it."""
+    word = "".join(rng.choices("abcdefghijklm", k=rng.randrange(4, 9)))
+    site = "".join(rng.choices("nopqrstuvw", k=rng.randrange(4, 9)))
+    body = "4" + "".join(rng.choices("0123456789", k=14))
+    card = next(body + str(c) for c in range(10) if pii.luhn(body + str(c)))
+    number = "".join(rng.choices("23456789", k=1) + rng.choices("0123456789", k=9))
+    octets = [str(rng.randrange(1, 255)) for _ in range(4)]
+    made = [(f"{word}@{site}.example.com", f"{word} at {site} dot example dot com"),
+            (".".join(octets), " . ".join(octets)),
+            (" ".join(card[k:k + 4] for k in range(0, 16, 4)), "/".join(card[k:k + 4] for k in range(0, 16, 4))),
+            (f"+1 {number[:3]} {number[3:6]} {number[6:]}", f"({number[:3]}) {number[3:6]}-{number[6:]}")]
+    said = [("please write to ", " or by mail"), ("the host with address ", " answered"),
+            ("paid with the card ", " on time"), ("you may call ", " at any hour by phone")]
+    k = rng.randrange(4)
+    before, after = said[k]
+    fill = " ".join(rng.choices("some words that fill the line and say nothing at all".split(), k=12))
+    return f"{fill} {before}", made[k][spelled], f"{after} {fill}", k
+
+
+def test_added_spans_hold_precision_and_recall(spark):
+    """Planted data of four kinds in looser spellings, next to decoys: 0.9 of both for each kind."""
+    rng, docs, want = random.Random(7), [], {}
+    for k in range(3000):
+        before, span, after, kind = planted_person(rng, spelled=k % 2)
+        docs.append((k, before + span + after, "en", "s", 1))
+        if k % 2:
+            want[k] = (kind, len(before), len(before) + len(span))
+    decoys = ["on 2021-03-04 12 we left", "the order 4471203355 was sent", "the book 978-3-16-148410-0 was read",
+              "in 1998 . 2001 . 2003 . 2004 it rained", "look at example.com for more", "we stay at home. Then we go",
+              "from 04.03.2021 12:30 on", "parts 100200300 and 400500600 were sold", "item 978-0-306-40615-7 is gone"]
+    for k in range(3000, 4500):
+        fill = " ".join(rng.choices("some words that fill the line and say nothing at all".split(), k=12))
+        docs.append((k, f"{fill} {rng.choice(decoys)} {fill}", "en", "s", 1))
+    df = spark.createDataFrame(docs, DOCS)
+    trees = pii.train(df)
+    texts = {d[0]: d[1] for d in docs}
+    hits, added, planted = Counter(), Counter(), Counter(kind for kind, _, _ in want.values())
+    for r in pii.detect(df, trees).collect():
+        base = set(pii.joined(plain_base(texts[r.doc_id])).split(","))
+        for span in set(r.spans.split(",")) - base - {""}:
+            kind, s, e = span.split(":")
+            kind = pii.KINDS.index(kind)
+            added[kind] += 1
+            k, a, b = want.get(r.doc_id, (None, 0, 0))
+            hits[kind] += k == kind and a - 1 <= int(s) and int(e) <= b + 1 and int(e) - int(s) >= 0.7 * (b - a)
+    for kind in range(4):
+        assert hits[kind] >= 0.9 * planted[kind], (pii.KINDS[kind], hits, planted, added)
+        assert hits[kind] >= 0.9 * added[kind], (pii.KINDS[kind], hits, planted, added)
 
 
 def test_pii_adds_spelled_out_data_next_to_decoys(spark):
