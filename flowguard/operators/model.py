@@ -31,6 +31,7 @@ from flowguard.operators import dataset, detect
 
 # Fixed values of the reference fit.
 FOREST, TREES, SEED = "random_forest", 200, 42
+DEEPEST = 30
 FOLDS, TEST_SHARE, VALIDATION_SHARE = 5, 0.2, 0.1
 
 
@@ -85,24 +86,28 @@ def forest(trees: int = TREES, seed: int = SEED, depth: int = 5) -> RandomForest
 
 def train(examples: DataFrame, model_name: str = FOREST, estimator=None,
           completeness: dataset.Completeness | None = None, allow_incomplete: bool = False,
-          trees: int = TREES, seed: int = SEED) -> tuple[PipelineModel, dict]:
+          trees: int = TREES, seed: int = SEED, depth: int = 5) -> tuple[PipelineModel, dict]:
     """Fit on a checked set; returns the model and what the run was.
 
-    A set of which nothing says that it is complete is refused like one that is not.
+    A set of which nothing says that it is complete is refused like one that is not. Trees may have up to
+    ``DEEPEST`` levels, as many as the library grows; each level costs passes over the rows.
     """
     if model_name != FOREST:
         raise ModelRefused(f"no estimator for {model_name!r}; only {FOREST!r} can be trained")
+    if not 1 <= depth <= DEEPEST or trees < 1:
+        raise ModelRefused(f"{trees} trees of {depth} levels; 1 to {DEEPEST} levels can be grown")
     dataset.require_complete(completeness, allow_incomplete)
     examples = examples.persist()  # checks, weights and fit each pass over it
     try:
         checks = dataset.validate(examples)
-        model = Pipeline(stages=[estimator or forest(trees, seed)]).fit(prepared(examples))
+        model = Pipeline(stages=[estimator or forest(trees, seed, depth)]).fit(prepared(examples))
         counts = dataset.class_counts(examples).orderBy("label_code").collect()
     finally:
         examples.unpersist()
     run = {"model_name": model_name, "version": "1", "feature_order": list(vocab.FEATURES),
            "classes": [r["label"] for r in counts], "rows_trained": checks["n_rows"],
            "class_counts": {r["label"]: r["n_rows"] for r in counts},
+           "trees": trees, "depth": depth,
            "dataset_complete": completeness is not None and completeness.complete}
     return model, run
 
