@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowguard import vocab
-from flowguard.operators import dataset, limiter
+from flowguard.operators import dataset, limiter, model
 from flowguard.plans import traffic
 from flowguard.plans.detection import VERDICT_SQL
 from flowguard.plans.readers import CAPTURE_HEADERS, FLOW_COLUMNS, HAS_CELL, SPELLINGS, write_csv
@@ -114,6 +114,46 @@ def training_manifest(spark, sf):
         F.col("label_code").cast("bigint").alias("label_code"), "n_rows", "n_all", "complete", "digest")
 
 
+@query("training_run", views="capture_cells", oracle=CONVERTED_SQL + """
+SELECT 'random_forest' AS model_name, '1' AS version, (SELECT COUNT(*) FROM used) AS rows_trained, TRUE AS dataset_complete,
+  label, COUNT(*) AS n_rows, 200 AS n_trees FROM used GROUP BY label""")
+def training_run(spark, sf):
+    """A fit of 200 trees, published as the first version and loaded again."""
+    registry = f"{jobs.work_folder(spark)}/registry"
+    fitted, run = model.train(example_rows(spark, sf), completeness=dataset.Completeness())
+    model.publish(spark, fitted, registry, model.current_version(spark, registry))
+    loaded, metadata = model.load_version(spark, registry)
+    return model.describe_run(spark, run | {"version": metadata.version}).withColumn(
+        "n_trees", F.lit(loaded.stages[-1].getNumTrees))
+
+
+@query("sources_below_coverage", views="capture_cells", oracle=CONVERTED_SQL + """
+SELECT source_id, COUNT(DISTINCT label_code) AS n_classes FROM used GROUP BY source_id HAVING COUNT(DISTINCT label_code) < 8""")
+def sources_below_coverage(spark, sf):
+    return dataset.sources_below_coverage(example_rows(spark, sf), 8)
+
+
+@query("combined_sets", views="capture_cells", oracle=CONVERTED_SQL + """
+SELECT source_id, row_key, label FROM used""")
+def combined_sets(spark, sf):
+    """The examples of two sets as one."""
+    rows = example_rows(spark, sf)
+    parts = [rows.where("label_code < 4"), rows.where("label_code >= 4")]
+    return dataset.combine(parts).select("source_id", "row_key", "label")
+
+
+WHOLE_SQL = " AND ".join(f"{f} IS NOT NULL" for f in vocab.FEATURES)
+
+
+@query("feature_vectors", views="flows", oracle=f"""
+SELECT row_key, {", ".join(f"CAST(CAST({f} AS REAL) AS DOUBLE) AS {f}" for f in vocab.FEATURES)} FROM flows WHERE {WHOLE_SQL}""")
+def feature_vectors(spark, sf):
+    """Vectors of the rows that have all features, in their fixed order."""
+    rows = view(spark, sf, "flows").where(WHOLE_SQL).select("row_key", dataset.feature_vector().alias("vector"))
+    return rows.select("row_key", *[F.get("vector", F.lit(i)).cast("float").cast("double").alias(f)
+                                    for i, f in enumerate(vocab.FEATURES)])
+
+
 @query("capture_exclusions_read", views="capture_cells", oracle=CONVERTED_SQL + f"""
 , placed AS (SELECT source_id % {FILES} AS k, row_key, ROW_NUMBER() OVER (PARTITION BY source_id % {FILES} ORDER BY row_key) - 1 AS row_idx
   FROM capture_cells)

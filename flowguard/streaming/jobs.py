@@ -70,10 +70,10 @@ def ingest(spark: SparkSession, folder: str, out: str, files_per_read: int = 100
                 if not some:
                     break
                 by_suffix = [[p for p in some if p.lower().endswith(s)] for s in READABLE]
-                flows, errors = load.load_flows(session, *by_suffix)
-                flows.write.mode("overwrite").parquet(f"{out}/flows/batch={batch_id}/part={part}")
-                errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=content-{part}")
-                records.release()
+                with records.holding():
+                    flows, errors = load.load_flows(session, *by_suffix)
+                    flows.write.mode("overwrite").parquet(f"{out}/flows/batch={batch_id}/part={part}")
+                    errors.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}/kind=content-{part}")
         finally:
             files.unpersist()
     return start(landing.stream(spark, folder, settle=settle), write, out, "append", once)
@@ -220,14 +220,17 @@ def limited_in_order(requests: DataFrame, limit: int = vocab.LIMITER_LIMIT,
 
 
 def limited_batches(requests: DataFrame, out: str, limit: int = vocab.LIMITER_LIMIT,
-                    window_seconds: int = vocab.LIMITER_WINDOW_SECONDS, once: bool = True):
+                    window_seconds: int = vocab.LIMITER_WINDOW_SECONDS, once: bool = True,
+                    late_seconds: int | None = None):
     """Decisions per micro-batch with the distributed operator, for very busy clients.
 
     The admissions inside a client's last window, by the client's own clock, are
     carried to the next micro-batch as rows and decided again first, which admits
     them again; that is ``limit`` rows a client at most. Requests of a client may
-    come in any order inside a micro-batch but not across them. Every folder is
-    named by its batch and overwritten on a retry.
+    come in any order inside a micro-batch but not across them. With ``late_seconds``,
+    how far a client may lag behind the newest request of all, admissions that no
+    request can meet any more are dropped, so the rows carried do not grow with the
+    clients ever seen. Every folder is named by its batch and overwritten on a retry.
     """
     schema = f"client string, at bigint, id bigint, carried boolean, {limiter.DECISION}"
 
@@ -239,6 +242,10 @@ def limited_batches(requests: DataFrame, out: str, limit: int = vocab.LIMITER_LI
             clocks = earlier.groupBy("client").agg(F.max("at").alias("clock"))
             open_hits = earlier.where("allowed").join(clocks, "client").where(
                 F.col("at") > F.col("clock") - window_seconds * limiter.MICROS)
+            if late_seconds is not None:
+                newest = earlier.agg(F.max("at").alias("newest"))  # one row
+                open_hits = open_hits.join(F.broadcast(newest), F.col("at") > F.col("newest") - (
+                    window_seconds + late_seconds) * limiter.MICROS)
             rows = rows.unionByName(open_hits.select(
                 "client", "at", "id", F.lit(True).alias("carried")))
         decided = limiter.batch_decisions(rows, limit, window_seconds)

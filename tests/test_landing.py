@@ -120,3 +120,14 @@ def test_timed_limits_are_those_of_the_batch_operator(spark, tmp_path, seed):
         got = jobs.drain(spark, jobs.limited_in_order(jobs.read_table(spark, folder), 5, 60))
     want = limiter.batch_decisions(rows.where("client <> 'z'"), 5, 60)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_batches_carry_only_what_can_still_count(spark, tmp_path):
+    folder, work = str(tmp_path / "in"), str(tmp_path / "work")
+    for rows in ([("a", 0, 1), ("b", 10, 2)], [("c", 500, 3)], [("c", 530, 4), ("d", 531, 5)]):
+        arrive(spark, folder, *rows)
+        jobs.limited_batches(jobs.read_table(spark, folder), work, 1, 60, late_seconds=100).awaitTermination()
+    decided = [{(r["id"], r["carried"]) for r in spark.read.parquet(f"{work}/decided/batch={k}").collect()} for k in range(3)]
+    assert decided == [{(1, False), (2, False)}, {(3, False), (1, True), (2, True)}, {(4, False), (5, False), (3, True)}]
+    assert {r["id"]: r["allowed"] for r in jobs.limited_results(spark, work).collect()} == {
+        1: True, 2: True, 3: True, 4: False, 5: True}

@@ -140,15 +140,15 @@ def test_json_arrays_in_splits_of_any_size(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        parsed = jsonlog.read(spark, folder)
-        wrong = by_source(parsed.errors, "problem")
-        got = {}
-        for r in parsed.records.orderBy("source_id", "block", "seq").collect():
-            got.setdefault(r["source_id"].rsplit("/", 1)[1], []).append(tuple(r["names"]))
+        with records.holding():
+            parsed = jsonlog.read(spark, folder)
+            wrong = by_source(parsed.errors, "problem")
+            got = {}
+            for r in parsed.records.orderBy("source_id", "block", "seq").collect():
+                got.setdefault(r["source_id"].rsplit("/", 1)[1], []).append(tuple(r["names"]))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
-        records.release()
     for name, text in ARRAYS.items():
         try:
             whole = json.loads(text.lstrip("\ufeff"))
@@ -322,3 +322,14 @@ def test_ever_new_json_keys_do_not_change_the_mapping(spark, tmp_path):
     assert len(parsed.layouts.first()["names"]) <= 12
     flows = records.to_flows(parsed)
     assert flows.where("label = 'DoS' AND flow_duration = 3 AND total_bytes = 1").count() == 1
+
+
+def test_held_tables_are_let_go_with_their_block(spark):
+    outside = records.keep(spark.range(3))
+    with records.holding():
+        inside = records.keep(spark.range(4))
+        with records.holding():
+            deeper = records.keep(spark.range(5))
+        assert inside.is_cached and not deeper.is_cached
+    assert outside.is_cached and not inside.is_cached
+    outside.unpersist()
