@@ -527,6 +527,58 @@ def test_blocks_of_items_leave_rows_alone(spark, monkeypatch):
     assert rows(decontam.decontaminate(docs, bench), "doc_id", "contaminated", "item_ids") == want
 
 
+def test_language_model_against_plain_counting(spark, sf):
+    """Backoff by words, then shorter grams, recounted without Spark."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows_ = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    learned = [(t, g) for d, t, g in rows_ if g is not None and t is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    langs = sorted({g for _, g in learned})
+
+    def words(text):
+        return [w for w in re.findall(r"[^\W\d_]+", text.lower()) if any(c.isalpha() for c in w)]
+
+    def grams(word, size):
+        padded = f" {word} " if size > 1 else word
+        return [padded[k:k + size] for k in range(len(padded) - size + 1)]
+    tables = []
+    for size in range(7):
+        counts = {g: Counter() for g in langs}
+        for t, g in learned:
+            for w in words(t):
+                counts[g].update([w] if not size else grams(w, size))
+        kept, total = {}, {g: sum(c.values()) for g, c in counts.items()}
+        for g, c in counts.items():
+            for item, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:30_000 if not size else 8_000]:
+                kept.setdefault(item, {})[g] = max(-7.0, np.log10(n / total[g]))
+        tables.append(kept)
+
+    def row(word):
+        for size, items in ((0, [word]), *((k, grams(word, k)) for k in range(6, 0, -1))):
+            seen = [[tables[size][i].get(g, -7.0) for g in langs] for i in items if i in tables[size]]
+            if seen:
+                return np.mean(seen, axis=0)
+        return np.full(len(langs), -7.0)
+    got, known = {r.doc_id: r for r in langid.identify(docs).collect()}, {}
+    for d, t, _ in rows_:
+        found = words(t or "")
+        if not found:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        mean = np.mean([known.setdefault(w, row(w)) if w not in known else known[w] for w in found], axis=0)
+        p = 10 ** (mean - mean.max())
+        assert got[d].lang_pred == langs[int(mean.argmax())] and got[d].score == pytest.approx(1 / p.sum(), rel=1e-4)
+
+
+def test_language_model_bounds_cost_no_accuracy(spark):
+    """The kept items of a language do as well on rows held out as all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    right = []
+    for bounds in ({}, {"most_words": 10**9, "most_grams": 10**9}):
+        told = langid.identify(docs, **bounds).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+        right.append(told.where("lang_pred <> 'und'").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0])
+    assert right[0] >= right[1] - 0.002 and right[0] > 0.98
+
+
 def test_lcs():
     rng = random.Random(5)
     for _ in range(200):
@@ -538,6 +590,51 @@ def test_lcs():
         assert decontam.lcs(decontam.bits_of(a), len(a), b) == table[-1][-1]
 
 
+def test_decontamination_against_every_window(spark, sf):
+    """What the search leaves out cannot count: all windows of all pairs, without any retrieval."""
+    docs = [(r.doc_id, decontam.words_of(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, decontam.words_of(r.text)) for r in bench.collect()]
+    rng = random.Random(3)
+    docs = [(d, w[:1500]) for d, w in docs]
+    for k in range(40):  # paraphrases: words dropped, replaced and added
+        item = rng.choice(items)[1]
+        said = [w if rng.random() > 0.05 else "other" for w in item if rng.random() > 0.08]
+        said.insert(rng.randrange(len(said) + 1), "really")
+        fill = rng.choice(docs)[1][:200]
+        docs.append((10_000 + k, fill[:90] + said + fill[90:]))
+    frame = spark.createDataFrame([(d, " ".join(w), "x", "s", 1) for d, w in docs], DOCS)
+    found = {(r.doc_id, i) for r in decontam.decontaminate(frame, bench).collect() for i in r.item_ids}
+    sure = set()
+    for i, item in items:
+        m, bits, own = len(item), decontam.bits_of(item), Counter(item)
+        for d, words in docs:
+            there = Counter(words)
+            if sum(min(n, there[w]) for w, n in own.items()) < 0.6 * m:
+                assert (d, i) not in found
+                continue
+            size = m + m // 2 + 2
+            if any(decontam.lcs(bits, m, words[s:s + size]) >= 0.8 * m
+                   for s in range(0, max(1, len(words) - size + 1), max(1, m // 4))):
+                sure.add((d, i))
+    assert len(sure) >= 30 and len(sure & found) >= 0.95 * len(sure)
+
+
+def test_frequencies_and_basis_serve_all_blocks(spark, monkeypatch):
+    """The passes over the documents do not follow the number of items."""
+    docs = spark.createDataFrame([(k, f"{PASSAGE} number {k}", "en", "s", 1) for k in range(20)], DOCS)
+    bench = spark.createDataFrame([(k, f"question {k} asks for the {k * 7} th word of line {k * 3}") for k in range(300)],
+                                  "item_id long, text string")
+    passes, idf_of = [], decontam.idf_of
+    monkeypatch.setattr(decontam, "idf_of", lambda *a: passes.append(1) or idf_of(*a))
+    for block in (300, 20):
+        monkeypatch.setattr(decontam, "ITEM_BLOCK", block)
+        assert len(list(decontam.judges(docs, bench))) == 1
+    assert len(passes) == 2
+    monkeypatch.setattr(decontam, "GROUP", 5)  # what a task holds is bounded
+    assert [len(j.blocks) for j in decontam.judges(docs, bench)] == [5, 5, 5]
+
+
 def test_recall_of_verbatim_passages(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(r.item_id, r.text) for r in bench.collect()]
