@@ -219,10 +219,16 @@ def count_pairs(words: DataFrame, owners: int) -> DataFrame:
     return save(_by(sent, "owner").applyInArrow(add, SUMMED_SQL), "lm-pairs")
 
 
-def _own(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each (text, key) how often it occurs."""
-    _, at, count = np.unique(text * (int(keys.max(initial=0)) + 1) + keys, return_inverse=True, return_counts=True)
-    return count[at]
+def _own(text: np.ndarray, keys: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """For each (text, key) how often it occurs; texts stand in order and are taken some at a time."""
+    out, span, start = np.empty(len(text), np.int64), int(keys.max(initial=0)) + 1, 0
+    while start < len(text):
+        stop = int(np.searchsorted(text, text[min(len(text), start + most) - 1], "right"))
+        own = (text[start:stop] - text[start]) * span + keys[start:stop]
+        _, at, count = np.unique(own, return_inverse=True, return_counts=True)
+        out[start:stop] = count[at]
+        start = stop
+    return out
 
 
 def losses(words: np.ndarray, tokens: np.ndarray, pairs: np.ndarray, second: np.ndarray, at: np.ndarray,
