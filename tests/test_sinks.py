@@ -141,3 +141,23 @@ def test_a_client_that_lags_behind_others_keeps_its_admissions(spark, tmp_path):
     arrive(("a", 30, 3), ("a", 60, 4))
     assert {r["id"]: r["allowed"] for r in jobs.limited_results(spark, work).collect()} == {
         1: True, 2: True, 3: False, 4: True}
+
+
+def test_reports_are_packed_one_file_a_bucket(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.lit(7).cast("bigint").alias("upload_id"),
+        F.lit("DoS").alias("attack_type"), F.lit(0.5).alias("confidence"), F.lit("High").alias("severity"),
+        F.expr("timestamp_ntz'2024-05-01 10:20:30.123456'").alias("created_at"))
+    uploads = spark.createDataFrame([(7, "events.csv")], "id bigint, filename string")
+    sinks.create_reports(spark, rows.select("id"), rows.unionByName(rows), uploads, str(tmp_path), 3, "x", run="r", buckets=16)
+    for kind in ("json", "csv"):
+        files = [f.name for b in (tmp_path / kind / "run=r").glob("bucket=*") for f in b.glob("part-*")]
+        assert len(files) == 16 and all(f.endswith(f".{kind}.gz") for f in files)
+    manifest = sinks.manifest(spark, str(tmp_path)).collect()
+    assert len(manifest) == 400 == len({r["prediction_id"] for r in manifest})
+    for r in manifest:
+        assert f"/json/run=r/bucket={r['bucket']}/" in r["report_path"] and f"/csv/run=r/bucket={r['bucket']}/" in r["export_path"]
+    assert sinks.stored_report(spark, str(tmp_path), "p9", 16).count() == 2
+    export = spark.read.option("header", "true").csv(f"{tmp_path}/csv")
+    assert export.count() == sum(10 + len(d["recommendations"]) for d in sinks.read_reports(spark, f"{tmp_path}/json")[0].collect())
+    assert {r["value"] for r in export.where("field = 'evidence.predicted_at'").collect()} == {"2024-05-01 10:20:30.123456"}
