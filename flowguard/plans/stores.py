@@ -191,15 +191,27 @@ def stored_reports(spark, sf):
     _reported(spark, sf, folder)
     file = F.regexp_extract(F.col("_metadata.file_path"), "bucket=([0-9]+)", 1).cast("int")
     exported = (spark.read.schema(sinks.EXPORT).option("header", "true").csv(f"{folder}/csv").where("ordinal = 1")
-                .select(F.col("value").alias("prediction_id"), file.alias("export_bucket")).distinct())
-    rows = sinks.manifest(spark, folder).join(exported, "prediction_id")
+                .select(F.col("value").alias("prediction_id"), file.alias("_file"))
+                .groupBy("prediction_id").agg(F.min("_file").alias("_low"), F.max("_file").alias("_high")))
     audit = spark.read.parquet(f"{folder}/audit").select("action_performed").distinct()
     documents = sinks.read_reports(spark, f"{folder}/json")[0].select(
         "evidence.*", "findings.*", F.array_join("recommendations", " | ").alias("recommendations"))
-    sound = (F.col("export_bucket") == F.col("bucket")) & F.col("report_path").contains("bucket=") & F.col(
-        "export_path").isNotNull()
-    out = documents.join(rows.select("prediction_id", "bucket", sound.alias("in_its_files")), "prediction_id").crossJoin(
-        F.broadcast(audit))  # one row: all entries are of one action
+    sound = (F.col("_low") == F.col("bucket")) & (F.col("_high") == F.col("bucket")) & F.col("report_path").contains(
+        "bucket=") & F.col("export_path").isNotNull()
+    filed = sinks.manifest(spark, folder).join(exported, "prediction_id").select(
+        "prediction_id", "bucket", sound.alias("in_its_files"))
+    # Ids alone are compared; documents, which are long, meet only what is wrong with some.
+    own = sinks.bucket_of(F.col("prediction_id"))
+    odd = documents.select("prediction_id").join(filed, "prediction_id", "left").where(
+        ~F.coalesce(F.col("in_its_files") & (F.col("bucket") == own), F.lit(False))).distinct().persist()
+    if odd.isEmpty():
+        out = documents.select("*", own.alias("bucket"), F.lit(True).alias("in_its_files"))
+    else:
+        told = documents.join(odd.withColumn("_odd", F.lit(True)), "prediction_id", "left")
+        out = told.where("_odd is null or bucket is not null").withColumn("in_its_files", F.when(
+            F.col("_odd").isNull(), True).otherwise(F.col("in_its_files"))).withColumn(
+            "bucket", F.when(F.col("_odd").isNull(), own).otherwise(F.col("bucket"))).drop("_odd")
+    out = out.crossJoin(F.broadcast(audit))  # one row: all entries are of one action
     gone = spark.read.parquet(f"{folder}/missing").select(F.col("id").alias("prediction_id"))
     return out.unionByName(gone, allowMissingColumns=True)
 
