@@ -620,6 +620,16 @@ def test_decontamination_against_every_window(spark, sf):
     assert len(sure) >= 30 and len(sure & found) >= 0.95 * len(sure)
 
 
+def test_basis_takes_no_sample(spark):
+    """The same texts under other ids give the same judge, however many there are."""
+    bench = spark.createDataFrame([(k, f"question {k} asks for the {k * 7} th word of line {k * 3}") for k in range(90)],
+                                  "item_id long, text string")
+    texts = spark.range(5000).select(F.concat_ws(" ", F.lit("question line word"), F.col("id").cast("string"),
+                                                 (F.col("id") % 97).cast("string"), F.lit(PASSAGE)).alias("text"), "id")
+    one, two = (next(decontam.judges(texts.select((F.col("id") + k).alias("doc_id"), "text"), bench)) for k in (0, 10**7))
+    assert (one.basis == two.basis).all()
+
+
 def test_frequencies_and_basis_serve_all_blocks(spark, monkeypatch):
     """The passes over the documents do not follow the number of items."""
     docs = spark.createDataFrame([(k, f"{PASSAGE} number {k}", "en", "s", 1) for k in range(20)], DOCS)
