@@ -333,3 +333,18 @@ def test_held_tables_are_let_go_with_their_block(spark):
         assert inside.is_cached and not deeper.is_cached
     assert outside.is_cached and not inside.is_cached
     outside.unpersist()
+
+
+def test_texts_are_parsed_once_and_stored(spark, tmp_path, monkeypatch):
+    """Later passes read parsed rows; places of plain files take no shuffle of the rows."""
+    folder = put(tmp_path, a__csv="n,t\n0,x\n1,y\n", b__csv='n,t\n0,"two\nlines"\n1,z\n', c__json='[{"n":0},{"n":1}]')
+    with records.holding():
+        csv = csvlog.read(spark, f"{folder}/*.csv")
+        arrays = jsonlog.read(spark, f"{folder}/*.json")
+        for parsed in (csv, arrays):
+            assert all(f.endswith(".parquet") for f in parsed.records.inputFiles())
+        index = {(r["source_id"][-5:], r["cells"][0]): r["row_idx"] for r in records.with_row_index(csv.records).collect()}
+        assert index == {("a.csv", "0"): 0, ("a.csv", "1"): 1, ("b.csv", "0"): 0, ("b.csv", "1"): 1}
+        monkeypatch.setattr(records.F, "row_number", None)
+        plain = csvlog.read(spark, f"{folder}/a.csv")
+        assert records.with_row_index(plain.records).count() == 2 and arrays.records.count() == 2
