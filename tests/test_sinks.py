@@ -1,11 +1,15 @@
 """Reports, stored findings, audit and streams on files."""
 
+import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from flowguard.operators import capture
+from flowguard import vocab
+from flowguard.operators import capture, report
+from flowguard.plans import catalog
 from flowguard.plans.training import converted
 from flowguard.plans.views import view
 from flowguard.sources import listing, sinks
@@ -161,3 +165,51 @@ def test_reports_are_packed_one_file_a_bucket(spark, tmp_path):
     export = spark.read.option("header", "true").csv(f"{tmp_path}/csv")
     assert export.count() == sum(10 + len(d["recommendations"]) for d in sinks.read_reports(spark, f"{tmp_path}/json")[0].collect())
     assert {r["value"] for r in export.where("field = 'evidence.predicted_at'").collect()} == {"2024-05-01 10:20:30.123456"}
+
+
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_export_texts_are_made_once_in_short_generated_code(spark, sf, capsys, broadcast):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": broadcast}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = catalog.QUERIES["report_export"](spark, sf)
+        rows.explain()
+        plan = capsys.readouterr().out
+        rows.explain("codegen")
+        code = capsys.readouterr().out
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert re.search(r"\*\(\d+\) Generate posexplode", plan)
+    assert sum("date_format" in line for line in plan.splitlines()) == 1
+    # Methods above 8,000 bytes are never compiled by the JVM.
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_export_of_odd_documents(spark):
+    at = datetime.datetime(2024, 5, 1, 10, 20, 30)
+    stored = spark.createDataFrame(
+        [("a", None, "DoS", 0.0005, "High", at), ("b", 2, "Unknown", 5e-05, "Low", at.replace(microsecond=120)),
+         ("c", 3, "Benign", 1.0, "Critical", at)],
+        "id string, upload_id bigint, attack_type string, confidence double, severity string, created_at timestamp_ntz")
+    uploads = spark.createDataFrame([(2, "two.csv")], "id bigint, filename string")
+    docs = report.documents(stored, uploads, F.col("created_at"))
+    long = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.when(i != 3, i.cast("string")))
+    docs = docs.withColumn("recommendations", F.when(F.col("evidence.prediction_id") == "c", long).otherwise(
+        F.when(F.col("evidence.prediction_id") == "a", F.col("recommendations"))))
+    got = report.export_rows(docs).orderBy("prediction_id", "ordinal").collect()
+    a = {r["field"]: r["value"] for r in got if r["prediction_id"] == "a"}
+    assert a["findings.summary"] is None and a["evidence.upload_id"] is None and a["evidence.source_filename"] == ""
+    assert a["evidence.confidence"] == "0.0005" and a["generated_at"] == "2024-05-01T10:20:30"
+    assert [a[f"recommendations[{i}]"] for i in range(3)] == [vocab.ESCALATION_TEXT % "High", *vocab.GUIDANCE["DoS"]]
+    assert not [r for r in got if r["prediction_id"] == "b"]  # a document without the list has no rows
+    c = [r for r in got if r["prediction_id"] == "c"]
+    assert [r["ordinal"] for r in c] == list(range(30))
+    assert [(r["field"], r["value"]) for r in c[10:]] == [
+        (f"recommendations[{i}]", None if i == 2 else str(i + 1)) for i in range(20)]
+    whole = report.export_rows(report.documents(stored, uploads, F.col("created_at"))).where("prediction_id = 'b'").collect()
+    b = {r["field"]: r["value"] for r in whole}
+    assert b["evidence.confidence"] == "5e-05" and b["evidence.predicted_at"] == "2024-05-01 10:20:30.000120"
+    assert b["generated_at"] == "2024-05-01T10:20:30.000120" and b["evidence.source_filename"] == "two.csv"
