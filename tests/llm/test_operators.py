@@ -630,6 +630,37 @@ def test_basis_takes_no_sample(spark):
     assert (one.basis == two.basis).all()
 
 
+def test_basis_is_that_of_all_documents(spark, monkeypatch):
+    """The same as a decomposition of the whole matrix of blocks, which documents turn."""
+    rng, words = random.Random(8), [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(k, " ".join(rng.choices(words, k=20))) for k in range(12)], "item_id long, text string")
+    texts = [" ".join(rng.choices(words[k % 4::4] + ["x", "y"], k=rng.randrange(0, 90))) for k in range(300)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    judge = next(decontam.judges(docs, bench))
+    idf, stored = decontam.idf_of(docs, judge.terms)
+    blocks = [t.split()[s:s + 16] for t in texts for s in range(0, len(t.split()), 16)]
+    matrix = np.zeros((len(blocks), decontam.TERMS), np.float32)
+    for row, block in zip(matrix, blocks):
+        for w in block:
+            if w in judge.terms:
+                row[judge.terms[w]] += idf[judge.terms[w]]
+    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
+    basis = np.linalg.qr(np.random.default_rng(5).standard_normal((decontam.TERMS, decontam.RANK), np.float32))[0]
+    whole = matrix.T @ (matrix @ basis)
+    own = judge.blocks[0].matrix(idf)
+    part = own.T @ (own @ basis)
+    want = np.linalg.qr(whole + np.linalg.norm(whole) / np.linalg.norm(part) * part)[0]
+    monkeypatch.setattr(decontam, "ROUNDS", 1)
+    got = decontam.basis_of(stored, judge.blocks, idf)
+    rank = len(set(judge.terms.values()))  # what lies beyond is arbitrary
+    assert np.abs(want[:, :rank] @ want[:, :rank].T - got[:, :rank] @ got[:, :rank].T).max() < 1e-3
+    few = [matrix.T @ (matrix @ basis)]
+    for body in (r.terms for r in stored.collect()):
+        term, rows_ = decontam._product(np.frombuffer(body, np.int16).reshape(-1, 16), idf, idf[:, None] * basis)
+        few[0][term] -= rows_
+    assert np.abs(few[0]).max() < 1e-4
+
+
 def test_frequencies_and_basis_serve_all_blocks(spark, monkeypatch):
     """The passes over the documents do not follow the number of items."""
     docs = spark.createDataFrame([(k, f"{PASSAGE} number {k}", "en", "s", 1) for k in range(20)], DOCS)
