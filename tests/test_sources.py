@@ -348,3 +348,11 @@ def test_texts_are_parsed_once_and_stored(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(records.F, "row_number", None)
         plain = csvlog.read(spark, f"{folder}/a.csv")
         assert records.with_row_index(plain.records).count() == 2 and arrays.records.count() == 2
+
+
+def test_kind_of_each_json_value_is_found_once(spark):
+    rows = spark.createDataFrame([('[1, 1.0, 2.50, "x", null, {"z": 1, "y": [1, 2]}, [], true, 1e3]',)], "text string")
+    out = rows.select(jsonlog.values_text(F.from_json("text", "array<variant>")).alias("cells"))
+    assert out.first()["cells"] == ["1", "1.0", "2.5", "x", None, '{"y":[1,2],"z":1}', "[]", "true", "1000.0"]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant") == 1
